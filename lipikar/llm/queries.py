@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, mixing, neardup, packing, secrets, sharding, topk, toxicity
+from . import fingerprints, katz, licenses, mixing, neardup, packing, secrets, sharding, topk, toxicity
 from .common import remainder, table
 
 N_SHARDS = 8
@@ -74,6 +74,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) == 0)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["base"])
@@ -97,11 +101,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_topk, op4_sharding, op5_neardup, op6_toxicity, op7_packing, op9_licenses, op10_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_secrets, op3_topk, op4_sharding, op5_neardup, op6_toxicity, op7_packing, op8_katz, op9_licenses, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3, "op4_sharding": OP4}
+    return {"op3_topk": OP3}
 
 
 OP3 = """
@@ -118,16 +122,3 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s
 ) WHERE rank <= 5
 """
-
-OP4 = """
-WITH d AS (
-  SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, text FROM documents
-), p AS (
-  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total,
-         row_number() OVER (ORDER BY doc_id NULLS FIRST) AS n
-  FROM d
-), s AS (
-  SELECT *, CAST(least((2 * before + size) * 8 // (2 * total), 7) AS INTEGER) AS shard FROM p
-)
-SELECT doc_id, size, shard, 'bytes' AS law, row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot FROM s
-"""

@@ -1,9 +1,292 @@
-"""The registered queries over plain tables and their SQL equivalents."""
+"""The registered queries over plain tables and their SQL equivalents.
+
+The tables hold no PDFs, so operators run on relations made from texts: a
+character's code point is its glyph code.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import script
+from ..operators import candidates, context, decode, learned, merge, resolve
+from ..sources import sinks
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def glyphs(rows: DataFrame, *by: str) -> DataFrame:
+    """``by, pos, cid, ch`` of every character."""
+    return rows.select(*by, F.posexplode(characters(F.col("text"))).alias("pos", "ch")).select(*by, "pos", F.ascii("ch").alias("cid"), "ch")
+
+
+# --- decoding
+
+
+def glyph_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode.used_codes(glyphs(table(spark, sf_dir, "documents"), "doc_id"), ["doc_id"])
+
+
+def unresolved_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return decode.missing_codes(glyphs(docs.filter("lang <> 'en'"), "lang"), glyphs(docs.filter("lang = 'en'"), "doc_id").select("cid").distinct(), ["cid"])
+
+
+def decode_with_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = glyphs(table(spark, sf_dir, "benchmark"), "item_id").select("cid", F.col("ch").alias("text")).distinct()
+    told = decode.decode(glyphs(table(spark, sf_dir, "documents"), "doc_id"), mapping, ["cid"])
+    return decode.joined(told, ["doc_id"], ["pos"])
+
+
+def mapping_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumnRenamed("html", "text")
+    parts = {"learned": table(spark, sf_dir, "benchmark"), "legacy": table(spark, sf_dir, "conversations"), "ttf": pages}
+    sources = {s: glyphs(d).select("cid", F.concat(F.lit(f"{s}:"), "ch").alias("text"), F.lit(0).alias("ord")).distinct() for s, d in parts.items()}
+    return merge.by_precedence(sources, merge.PRESETS["reference_text"], ["cid"])
+
+
+def report_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes and fills font by font: a supplier's nation is its font, a part key its code."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cid"), (F.col("l_suppkey") % 7).cast("int").alias("font_ord"), "l_linenumber", "l_orderkey")
+    rows = lines.groupBy("cid", "font_ord", (F.col("l_linenumber") % 3).cast("int").alias("step")).agg(F.max("l_orderkey").cast("string").alias("text"))
+    out = merge.page_report_map(rows.filter("step < 2"), rows.filter("step = 2").groupBy("cid", "font_ord").agg(F.max("text").alias("text")), ["cid"])
+    return out
+
+
+def flat_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("text"), F.col("event_id").alias("ord"))
+    return merge.flat(events, ["user_id"])
+
+
+def unambiguous_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("hour", F.hour("ts"))
+    return learned.unambiguous(events, ["user_id", "hour"], "event_type", "event_id")
+
+
+def learned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").cast("string").alias("fkey"), F.col("event_type").alias("gid"), F.col("event_id").alias("seq"), "value")
+    return learned.latest(rows)
+
+
+def fingerprint_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts without an own text take that of an unambiguous fingerprint: brand and size stand for the outline, the type for the text."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_size").alias("fp"), "p_type")
+    known = parts.filter(F.col("p_type").startswith("S") | F.col("p_type").startswith("E"))
+    index = learned.unambiguous(known.withColumnRenamed("p_type", "text"), ["fp"], "text", "p_partkey")
+    return merge.gaps(known, parts.select("p_partkey", "fp"), ["p_partkey"]).join(index, "fp").select("p_partkey", "text")
+
+
+def provenance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages").withColumnRenamed("html", "text")
+    codes = lambda d: glyphs(d).agg(F.collect_set("cid").alias("c"))
+    used = glyphs(docs, "lang").groupBy("lang").agg(F.collect_set("cid").alias("used"))
+    native, effective = codes(docs.filter("lang = 'en'")), codes(pages)
+    whole = used.crossJoin(native.withColumnRenamed("c", "native")).crossJoin(effective.withColumnRenamed("c", "effective"))
+    split = whole.select("lang", decode.classify(F.col("used"), F.col("native"), F.col("effective")).alias("s"))
+    said = lambda f: F.array_join(F.transform(F.col(f"s.{f}"), lambda c: c.cast("string")), ",")
+    return split.select("lang", *[said(f).alias(f) for f in ("unresolved", "fallback", "unknown")])
+
+
+def top_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten smallest codes in use, with their counts: a report of the first mappings."""
+    return decode.used_codes(glyphs(table(spark, sf_dir, "documents")), []).orderBy("cid").limit(10)
+
+
+def entry_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("text")).filter("text <> ''").distinct()
+    return learned.entry_counts(names)
+
+
+# --- context, windows
+
+
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    near = context.around(events.select("event_id", "user_id"), ["user_id"], "event_id", "event_id")
+    return near.select("event_id", F.array_join(F.transform("context", lambda c: c.cast("string")), ",").alias("context"))
+
+
+def unresolved_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters that no benchmark passage has, with eight on either side."""
+    codes = glyphs(table(spark, sf_dir, "documents"), "doc_id").withColumn("operand", F.lit(0)).withColumn("op_seq", F.lit(0))
+    mapping = glyphs(table(spark, sf_dir, "benchmark")).select("cid", F.col("ch").alias("text")).distinct()
+    told = decode.decode(codes, mapping, ["cid"])
+    missing = decode.missing_codes(codes.select("doc_id", "cid"), told.filter("known").select("doc_id", "cid").distinct(), ["doc_id", "cid"])
+    found = context.unresolved_context(told.select("doc_id", "op_seq", "operand", "pos", "cid", "text", "known"), missing, ["doc_id"])
+    return found.select("doc_id", "cid", "occurrence", F.array_join(F.transform("cids", lambda c: c.cast("string")), " ").alias("cids"), "context", "raw_hex")
+
+
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.first_line(glyphs(table(spark, sf_dir, "documents"), "doc_id").select("cid", "doc_id"), [], "doc_id")
+
+
+def run_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return context.islands(events, ["user_id"], ["event_id"], F.col("event_type") == "error").select("event_id", "user_id", "island")
+
+
+def pen_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.length("o_orderpriority").cast("long").alias("advance"))
+    return context.pen_positions(orders, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "x")
+
+
+def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"))
+    return pages.select("page_id", "host", F.row_number().over(Window.partitionBy("host").orderBy("page_id")).alias("page_no"))
+
+
+def review_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    codes = glyphs(docs, "source").select("source", "cid")
+    ttf = glyphs(table(spark, sf_dir, "benchmark")).select("cid").distinct()
+    return context.review_targets(codes.select("cid"), ttf, ["cid"])
+
+
+# --- references, sets
+
+
+def reference_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id")
+    edges = events.filter("event_id > 0").select(F.col("event_id").alias("src"), F.floor(F.col("event_id") / 2).alias("dst"))
+    return resolve.reference_chain(edges, events.select(F.col("event_id").alias("root")))
+
+
+def font_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four left joins, each on the key that the one before found: line to order to customer to nation to region."""
+    line, order, customer = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    a = line.select("l_orderkey", "l_linenumber").join(order.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    a = a.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    a = a.join(nation.select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    a = a.join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return a.select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey", "r_name")
+
+
+def candidate_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curated = spark.createDataFrame([("ক্ষ",), ("জ্ঞ",), ("ক্ষ্ম্য",)], "text string")
+    return candidates.generate(spark, curated)
+
+
+# --- text
+
+
+#: Latin letters and the Bengali ones that stand for them in texts made for the script's rules.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+BENGALI = "কিখেগঘৈচছজাটডরনপতীদ্বুমযলস"
+
+
+def to_bengali(text: Column) -> Column:
+    return F.translate(F.lower(text), LATIN, BENGALI)
+
+
+def cleanup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", script.cleanup_column(to_bengali(F.col("text"))).alias("text"))
+
+
+def corrections_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    for wrong, right in (("the", "teh"), ("teh ", "the  "), ("and", "&"), ("&s", "ands")):
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def reorder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as runs of two tokens, a pre-base sign and a consonant: logical order is the other way round."""
+    from .pages import logical
+
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter("w <> ''").distinct()
+    runs = F.transform(characters(F.col("w")), lambda c: F.when(F.ascii(c) % 2 == 0, F.lit("ি")).otherwise(F.lit("ক")))
+    pairs = words.select("w", F.element_at(runs, 1).alias("a"), F.when(F.size(runs) > 1, F.element_at(runs, 2)).otherwise(F.lit("ক")).alias("b"))
+    return pairs.select("w", F.array_join(logical(F.array("a", "b")), "").alias("text"))
+
+
+def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
+
+
+def lines_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    return decode.joined(talk, ["conv_id"], ["turn"], sep="\n")
+
+
+def page_delimited_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("page_no"), "text")
+    return sinks.document_text(pages, "conv_id")
+
+
+def font_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", learned.font_key(F.col("lang"), F.col("text").cast("binary")).alias("fkey"))
+
+
+def hex_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage as lines of sixteen bytes."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(sinks.hex_dump(F.col("text").cast("binary"))).alias("l"))
+    return rows.select("item_id", "l.offset", "l.hex", "l.ascii")
+
+
+def identity_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-16 units of benchmark passages as Identity-H codes."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(decode.identity_codes(F.encode("text", "UTF-16BE"))).alias("pos", "cid"))
+    return rows.select("item_id", "pos", "cid")
+
+
+def cmap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of codes to rows: a part's key begins its range, its size is the length."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("n"))
+    return parts.select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("step")).select("p_partkey", (F.col("p_partkey") + F.col("step")).alias("code"), (F.lit(0x985) + F.col("step")).alias("unit"))
+
+
+def code_point_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = glyphs(table(spark, sf_dir, "documents")).select(F.col("ch").alias("text")).distinct()
+    return words.select("text", F.array_join(learned.code_points(F.col("text")), " ").alias("unicode"))
+
+
+def html_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", sinks.html_escape(F.col("html")).alias("html"))
+
+
+def pdf_roundtrip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as a PDF, one page of one show for each line, and decoded again through objects, streams, pages, fonts and maps."""
+    from ..sources import pdf, writer
+    from . import pages
+
+    def make(text: bytes) -> list[tuple]:
+        lines = [[int.from_bytes(u, "big") for u in _units(x)] for x in text.decode().split("\n")]
+        return [(writer.build_pdf([lines], {c: chr(c) for line in lines for c in line if not 0xD800 <= c < 0xE000}),)]
+
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    files = pdf.expand(texts, "t", ["doc_id"], pdf.ddl("content binary"), make).select(F.col("doc_id").cast("string").alias("pdf_id"), "content")
+    parts = pages.read_parts(files)
+    texts = pages.page_texts(parts, pages.effective_map(parts), raw=True)
+    return texts.select(F.col("pdf_id").cast("long").alias("doc_id"), "text")
+
+
+def _units(line: str) -> list[bytes]:
+    b = line.encode("utf-16-be")
+    return [b[i : i + 2] for i in range(0, len(b), 2)]
+
+
+ALL = (
+    glyph_frequency, unresolved_glyphs, decode_with_markers, mapping_precedence, report_map, flat_mapping, unambiguous_dimension, learned_upsert,
+    fingerprint_fill, provenance_split, top_mappings, entry_statistics, context_window, unresolved_context, first_occurrence, run_segmentation,
+    pen_positions, page_rank, review_targets, reference_chain, font_chain, candidate_cross, cleanup_rules, corrections_fold, reorder_pairs,
+    lines_split, lines_joined, page_delimited_text, font_key, hex_dump, identity_codes, cmap_expand, code_point_names, html_escaped, pdf_roundtrip_text,
+)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)

@@ -99,7 +99,6 @@ def tounicode_entries(fonts: DataFrame, objects: DataFrame, strict: bool = False
 
 def page_sources(parts: Parts, legacy: DataFrame | None = None, glyphs: DataFrame | None = None) -> dict[str, DataFrame]:
     """The five sources by page: ``pdf_id, page_no, cid, text, ord, font_ord``."""
-    spark = parts.objects.sparkSession
     out = {}
     uni = tounicode_entries(parts.fonts, parts.objects)
     base = parts.fonts.select(*PAGE, "font_ord", "base_font", "tounicode", "font_file2")
@@ -112,7 +111,8 @@ def page_sources(parts: Parts, legacy: DataFrame | None = None, glyphs: DataFram
     keyed = base.join(parts.ttf.select("pdf_id", "font_file2", "fkey"), ["pdf_id", "font_file2"])
     own = keyed.join(tables, "fkey")
     out["ttf"] = own.filter("text is not null").select(*PAGE, F.col("gid").alias("cid"), "text", (-F.col("font_ord")).cast("long").alias("ord"), "font_ord")
-    glyphs = mappings.empty_learned(spark) if glyphs is None else glyphs
+    if glyphs is None:
+        return out
     sure = learned.confirmed(glyphs).select("fkey", F.col("gid").alias("cid"), F.col("text"), "seq")
     out["learned"] = keyed.join(sure, "fkey").select(*PAGE, "cid", "text", F.col("seq").alias("ord"), "font_ord")
     index = learned.fingerprint_index(glyphs)

@@ -76,14 +76,14 @@ def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     most = window * (math.log2(window) - bits) + 1e-9
     out: list[tuple[int, int]] = []
     for end, ch in enumerate(run, 1):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += xlog[c + 1] - xlog[c]
         if end > window:
             old = run[end - window - 1]
             c = counts[old]
             counts[old] = c - 1
             total += xlog[c - 1] - xlog[c]
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += xlog[c + 1] - xlog[c]
         if end >= window and total <= most:
             start = end - window
             if out and start <= out[-1][1]:

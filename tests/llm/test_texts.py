@@ -40,7 +40,7 @@ def test_op1_order_holds_over_buckets(spark):
     rows = [(i * i % 997 * (-1) ** i, f"text number {i} " * (1 + i % 4)) for i in range(997) if i]
     rows = list(dict(rows).items())
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    got = {r.id: fingerprints for r in ()} or {r.id: r.next_text for r in fingerprints.with_next(df, rows_per_bucket=40).collect()}
+    got = {r.id: r.next_text for r in fingerprints.with_next(df, rows_per_bucket=40).collect()}
     order = sorted(rows, reverse=True)
     assert got == {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
 

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -29,7 +29,7 @@ from .components import connected_components
 
 WORD = re.compile(r"\w+")
 _MIX, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -88,13 +88,14 @@ class Idf:
 
     A shingle rarer than about one part in the table's size gets the same weight as
     the rarest; the table keeps common ones apart at any corpus size. Weights run
-    from 1 (in all documents) to 2 (in none).
+    from 1 (in all documents) to 1.5 (in none): what a large group of copies shares
+    must not count for so little that its own members no longer reach the threshold.
     """
 
     def __init__(self, bits: int, counts: np.ndarray, documents: int):
         self.shift = np.uint64(64 - bits)
         top = np.log1p(max(1, documents))
-        self.weight = (1.0 + np.log((1.0 + documents) / (1.0 + np.minimum(counts, documents))) / top).astype(np.float32)
+        self.weight = (1.0 + 0.5 * np.log((1.0 + documents) / (1.0 + np.minimum(counts, documents))) / top).astype(np.float32)
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         return self.weight[(mixed(shingles) >> self.shift).astype(np.int64)]
@@ -117,10 +118,10 @@ class WeightedSampler:
     """Improved consistent weighted sampling of many sets at a time.
 
     The Gamma(2, 1) variates r and c and the uniform b of a (shingle, sample) come
-    from a table of 2**16 triples at a hash of both, the same for all documents.
+    from a table of 2**14 triples, which a core's cache holds, at a hash of both, the same for all documents.
     """
 
-    BITS = 16
+    BITS = 14
 
     def __init__(self, samples: int, seed: int):
         rng = np.random.RandomState(seed)
@@ -135,19 +136,28 @@ class WeightedSampler:
 
     def __call__(self, ids: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(sets, samples) of 64-bit samples (shingle, t); every set has a member."""
+        n = len(ids)
         log_w = np.log(weights).astype(np.float32)
-        sizes = np.diff([*starts, len(ids)])
+        sizes = np.diff([*starts, n])
         out = np.empty((len(starts), len(self.factors)), np.uint64)
-        owner = np.repeat(np.arange(len(starts)), sizes)
         shift = np.uint64(64 - self.BITS)
+        h, part, log_a, t = np.empty(n, np.uint64), *np.empty((3, n), np.float32)
         for k, factor in enumerate(self.factors):
-            at = ((ids * factor) >> shift).astype(np.int32)
-            t = np.floor(log_w * self.inverse[at] + self.b[at])
-            log_a = self.head[at] - self.r[at] * t
-            least = np.minimum.reduceat(log_a, starts)
-            hits = np.flatnonzero(log_a == least[owner])
-            _, first = np.unique(owner[hits], return_index=True)  # ids ascend within a set: ties go to the smallest
-            best = hits[first]
+            np.multiply(ids, factor, out=h)
+            np.right_shift(h, shift, out=h)
+            at = h.view(np.intp)
+            np.take(self.inverse, at, out=t, mode="clip")
+            t *= log_w
+            np.take(self.b, at, out=part, mode="clip")
+            t += part
+            np.floor(t, out=t)
+            np.take(self.r, at, out=part, mode="clip")
+            part *= t
+            np.take(self.head, at, out=log_a, mode="clip")
+            log_a -= part
+            hits = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, starts), sizes))
+            owner = np.searchsorted(starts, hits, side="right") - 1
+            best = hits[np.flatnonzero(np.diff(owner, prepend=-1))]  # ids ascend within a set: ties go to the smallest
             out[:, k] = mixed(ids[best] + t[best].astype(np.int64).astype(np.uint64) * _MIX)
         return out
 
@@ -220,7 +230,7 @@ def signatures(docs: DataFrame, text: str, idf_bytes, params: NearDupParams) ->
                     nodes.append(node.as_py())
                     sets.append(weighted_set(shingles, idf))
                     held += len(sets[-1][0])
-                if held > 60_000:
+                if held > 40_000:
                     yield flush(nodes, sets)
                     nodes, sets, held = [], [], 0
             if sets:
@@ -265,7 +275,7 @@ def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, key:
 
 
 def near_duplicate_classes(docs: DataFrame, params: NearDupParams = NearDupParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, node, class_id, class_size, links`` for each row of ``docs``; ``node`` is the MD5 of the text.
+    """``key, node, class_node, class_id, class_size, links`` for each row of ``docs``; ``node`` is the MD5 of the text, ``class_node`` the least in the class.
 
     Rows are in one class if a chain of verified links joins their texts; equal
     texts are always in one, null counting as the empty text. Texts without words
@@ -313,8 +323,8 @@ def near_duplicate_classes(docs: DataFrame, params: NearDupParams = NearDupParam
     copies = keys.groupBy("node").count()
     sized = stored(of_node.join(copies, "node"), "neardup-classes")
     size = sized.groupBy("component").agg(F.sum("count").alias("class_size"))
-    whole = sized.join(size, "component").select("node", "class_id", "class_size", "links")
-    return keys.join(whole, "node").select(F.col("rep").alias(key), "node", "class_id", "class_size", "links")
+    whole = sized.join(size, "component").select("node", F.col("component").alias("class_node"), "class_id", "class_size", "links")
+    return keys.join(whole, "node").select(F.col("rep").alias(key), "node", "class_node", "class_id", "class_size", "links")
 
 
 def deduplicate(docs: DataFrame, params: NearDupParams = NearDupParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,12 +334,10 @@ def deduplicate(docs: DataFrame, params: NearDupParams = NearDupParams(), key: s
     marked = docs.select("*", text_node(docs[text]).alias("__text_node"))
     kept = marked.join(gone.distinct(), marked[key].eqNullSafe(gone["__id"]) & (marked["__text_node"] == gone["__node"]), "left_anti").drop("__text_node")
     # Rows that share the kept key: exact repetitions of one row, or different texts under one key in one class.
-    twice = classes.filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = classes.filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.count("*").alias("n")).filter("n > 1")
     if not stored(twice, "neardup-twice").take(1):
         return kept
-    w = classes.select(F.col(key).alias("__id"), F.col("node").alias("__node"), F.col("class_id").alias("__class")).distinct()
+    w = classes.select(F.col(key).alias("__id"), F.col("node").alias("__node"), F.col("class_node").alias("__class")).distinct()
     tagged = kept.withColumn("__text_node", text_node(kept[text])).join(w, kept[key].eqNullSafe(w["__id"]) & (F.col("__text_node") == F.col("__node")))
-    from pyspark.sql import Window
-
     numbered = tagged.withColumn("__row", F.row_number().over(Window.partitionBy("__class").orderBy("__node")))
     return numbered.filter("__row = 1").select(*docs.columns)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 PRESETS = {
     "reference_text": ("learned", "legacy", "ttf", "fingerprint"),
     "documented": ("tounicode", "learned", "fingerprint", "legacy", "ttf"),
+    "extract": ("legacy", "tounicode"),
+    "review": ("learned", "ttf", "unique_gid"),
 }
 
 

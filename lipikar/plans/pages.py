@@ -64,7 +64,7 @@ def read_parts(files: DataFrame, fallback: bool = False, strict: bool = False) -
     codes = strings.select(*PAGE, "op_seq", "operand", F.posexplode(decode.identity_codes(F.col("o.bytes"), strict)).alias("pos", "cid"))
     files2 = fonts.filter("font_file2 is not null").select("pdf_id", "font_file2", "base_font").distinct()
     ttf = pdf.pdf_streams(files2.join(objects.select("pdf_id", F.col("obj_num").alias("font_file2"), "body"), ["pdf_id", "font_file2"]), ["pdf_id", "font_file2", "base_font"])
-    ttf = ttf.filter("decoded is not null").select("pdf_id", "font_file2", "base_font", F.col("decoded").alias("ttf"), learned.font_key(F.coalesce("base_font", F.lit("")), F.col("decoded")).alias("fkey"))
+    ttf = ttf.filter("decoded is not null").select("pdf_id", "font_file2", "base_font", F.col("decoded").alias("ttf"), learned.font_key(F.coalesce("base_font", F.lit("")), F.col("decoded")).alias("fkey")).persist()
     return Parts(objects, pages, fonts, ops, codes, ttf)
 
 
@@ -109,7 +109,7 @@ def page_sources(parts: Parts, legacy: DataFrame | None = None, glyphs: DataFram
         out["legacy"] = base.join(own, "base_font").select(*cols)
     tables = glyph_tables(parts.ttf)
     keyed = base.join(parts.ttf.select("pdf_id", "font_file2", "fkey"), ["pdf_id", "font_file2"])
-    own = keyed.join(tables, "fkey")
+    own = keyed.join(tables, "fkey").persist()
     out["ttf"] = own.filter("text is not null").select(*PAGE, F.col("gid").alias("cid"), "text", (-F.col("font_ord")).cast("long").alias("ord"), "font_ord")
     if glyphs is None:
         return out
@@ -117,11 +117,13 @@ def page_sources(parts: Parts, legacy: DataFrame | None = None, glyphs: DataFram
     out["learned"] = keyed.join(sure, "fkey").select(*PAGE, "cid", "text", F.col("seq").alias("ord"), "font_ord")
     index = learned.fingerprint_index(glyphs)
     out["fingerprint"] = own.select(*PAGE, F.col("gid").alias("cid"), "glyph_fingerprint", "font_ord").join(index, "glyph_fingerprint").select(*PAGE, "cid", "text", (-F.col("font_ord")).cast("long").alias("ord"), "font_ord")
+    # A glyph number means nothing across fonts by itself: only the review's preset asks for it.
+    out["unique_gid"] = own.select(*PAGE, F.col("gid").alias("cid"), "font_ord").join(learned.unique_gid_map(glyphs).withColumnRenamed("gid", "cid"), "cid").select(*PAGE, "cid", "text", (-F.col("font_ord")).cast("long").alias("ord"), "font_ord")
     return out
 
 
 def effective_map(parts: Parts, legacy: DataFrame | None = None, glyphs: DataFrame | None = None, preset: str = "documented") -> DataFrame:
-    """``pdf_id, page_no, cid, text, source`` by a preset: ``reference_text``, ``documented``, or ``reference_report``, which writes and fills font by font."""
+    """``pdf_id, page_no, cid, text, source`` by a preset of ``merge``, or ``reference_report``, which writes and fills font by font."""
     sources = page_sources(parts, legacy, glyphs)
     key = [*PAGE, "cid"]
     if preset != "reference_report":

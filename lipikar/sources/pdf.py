@@ -283,3 +283,32 @@ def value_json(data):
 def bytes_of_hex(data):
     """Hexadecimal text to bytes, white space allowed, an odd digit padded on the right."""
     return data.map(lambda s: None if s is None else hex_bytes(s.encode("latin-1")))
+
+
+# --- lookups over objects
+
+
+def one_object(objects: DataFrame, obj_num: int) -> DataFrame:
+    """The rows of one object number."""
+    return objects.filter(F.col("obj_num") == obj_num)
+
+
+def font_objects(objects: DataFrame) -> DataFrame:
+    """Objects whose body says ``/Type /Font``, descriptors included."""
+    return objects.filter(F.instr(F.decode("body", "ISO-8859-1"), "/Type /Font") > 0)
+
+
+def stream_objects(objects: DataFrame, on_error: str = "raw") -> DataFrame:
+    """``pdf_id, obj_num, decoded, error`` of objects with a stream that isn't empty; what can't be inflated stays as it is."""
+    return pdf_streams(objects, on_error=on_error).filter(F.octet_length("decoded") > 0)
+
+
+def cmap_objects(objects: DataFrame) -> DataFrame:
+    """Streams that hold a character map."""
+    return stream_objects(objects).filter(F.instr(F.decode("decoded", "ISO-8859-1"), "begincmap") > 0)
+
+
+def of_kind(resolved: DataFrame, kind: str) -> DataFrame:
+    """Rows of ``resolved_objects`` that are of a kind, as ``dict`` or ``stream``; a row of another raises."""
+    wrong = F.raise_error(F.format_string(f"object %d is no {kind}", F.col("obj_num"))).cast("string")
+    return resolved.withColumn("kind", F.when(F.col("kind") == kind, F.col("kind")).otherwise(wrong))

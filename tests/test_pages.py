@@ -182,3 +182,40 @@ def test_streaming_equals_batch(spark, tmp_path):
     got = {os.path.basename(r.pdf_id): r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {os.path.basename(r.pdf_id): r.text for r in pages.document_texts(pdf.read_files(spark, str(tmp_path / "in"))).collect()}
     assert got == batch and len(got) == 3
+
+
+def test_lookups(parts, files):
+    from lipikar.sources.pdf import cmap_objects, font_objects, of_kind, one_object, resolved_objects, stream_objects
+
+    assert {r.obj_num for r in font_objects(parts.objects).collect()} == {3, 4, 5}
+    assert {r.obj_num for r in cmap_objects(parts.objects).collect()} == {6} and stream_objects(parts.objects).count() == 4
+    assert one_object(parts.objects, 3).count() == 1
+    typed = resolved_objects(files.filter("pdf_id = 'a'"))
+    assert of_kind(typed.filter("obj_num = 6"), "stream").first().kind == "stream"
+    with pytest.raises(Exception, match="object 3 is no stream"):
+        of_kind(typed.filter("obj_num = 3"), "stream").collect()
+
+
+def test_pictures(spark, parts):
+    from lipikar.plans import pictures
+
+    fkey = parts.ttf.first().fkey
+    gids = spark.createDataFrame([(fkey, 1), (fkey, 1), (fkey, 99)], "fkey string, gid int")
+    got = pictures.glyph_pictures(parts.ttf, gids).collect()
+    assert [r.gid for r in got] == [1] and got[0].svg.startswith("<svg")
+    lines = spark.createDataFrame([(fkey, 2, [1, 2, 3], "a < b")], "fkey string, gid int, cids array<int>, label string")
+    assert "a &lt; b" in pictures.review_pages(parts.ttf, lines).first().html
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lipikar.__main__ import main
+
+    (tmp_path / "a.pdf").write_bytes(writer.build_pdf([[[2, 1, 9]], [[5]]], CODES, font=FONT))
+    (tmp_path / "map.json").write_text(json.dumps({"Sample": {"1": "ক", "2": "ষ", "9": "কষ"}}))
+    assert main([str(tmp_path / "a.pdf"), "--page", "1"]) == 2
+    assert "⟦CID:9⟧" in capsys.readouterr().out
+    out = [str(tmp_path / x) for x in ("t", "j", "d", "f.ttf")]
+    assert main([str(tmp_path / "a.pdf"), "--mapping", str(tmp_path / "map.json"), "--text", out[0], "--json", out[1], "--dump", out[2], "--generate-ttf", out[3]]) == 0
+    assert "কষ" in spark.read.text(out[0]).filter("value like '%কষ%'").first().value and spark.read.json(out[1]).count() == 2
+    assert truetype.Font((tmp_path / "f.ttf").read_bytes()).code_points() == {ord("ক"): 1, ord("ষ"): 2}
+    assert main([str(tmp_path / "nothing.pdf")]) == 1

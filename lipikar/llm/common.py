@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: While a scratch table is written: its shuffle files go when the write ends, and Python gets texts in small batches.
+DURING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; a new one only where that is unset, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,13 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage."""
+    """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage.
+
+    Shuffle files of the write are of no use afterwards and go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    held = {k: spark.conf.get(k, None) for k in DURING}
+    try:
+        for k, v in DURING.items():
+            spark.conf.set(k, v)
+        writer.parquet(path)
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

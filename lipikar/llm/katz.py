@@ -15,7 +15,6 @@ and no table of the whole vocabulary is ever in one place.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -126,9 +125,9 @@ def _hashes(words) -> np.ndarray:
     return out
 
 
-def _batches(params: KatzParams):
+def _batches(params: KatzParams, parts: int):
     """Tokenises whole texts: words between ASCII white space with A-Z lower-cased, then the end mark."""
-    names = ["batch", "words", "seen", "tokens", "lengths", "ids", "no_id", "held"]
+    names = ["batch", "words", "owners", "seen", "tokens", "lengths", "ids", "no_id", "held"]
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -143,7 +142,8 @@ def _batches(params: KatzParams):
             order = np.concatenate([[END], 1 + np.argsort(-np.bincount(tokens, minlength=len(words))[1:], kind="stable")])
             new = np.empty(len(words), np.int64)
             new[order] = np.arange(len(words))
-            row = [first + made, pack(_hashes(words)[order]), pack(seen[order]), pack(new[tokens]), pack(lengths), np.array(ids, np.int64).tobytes(), bytes(empty), bytes(held)]
+            hashes = _hashes(words)[order]
+            row = [first + made, pack(hashes), pack(_by_part(hashes, parts)), pack(seen[order]), pack(new[tokens]), pack(lengths), np.array(ids, np.int64).tobytes(), bytes(empty), bytes(held)]
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=names)
 
         words, texts, ids, empty, held, size = _Numbers({b"": END}), [], [], [], [], 0
@@ -180,14 +180,6 @@ def _counts_of(c: np.ndarray, k: int) -> list[int]:
     return np.bincount(np.minimum(c[c > 0], k + 2).astype(np.int64), minlength=k + 3)[: k + 2].tolist()
 
 
-def _release() -> None:
-    """Lets Spark drop the shuffle files of steps whose results are stored."""
-    from pyspark import SparkContext
-
-    gc.collect()
-    SparkContext._active_spark_context._jvm.System.gc()
-
-
 def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = KatzParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Trains on the rows where ``held_out`` is not true and scores all rows.
 
@@ -206,7 +198,7 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
     k = params.cutoff
     given = docs.select(docs[key].cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), docs[text].cast("string").alias("text"))
     blob = lambda names: ", ".join(f"{n} binary" for n in names.split())
-    batches = stored(given.mapInArrow(_batches(params), "batch long, " + blob("words seen tokens lengths ids no_id held")), "katz-batches")
+    batches = stored(given.mapInArrow(_batches(params, parts), "batch long, " + blob("words owners seen tokens lengths ids no_id held")), "katz-batches")
 
     # --- words
     def ask_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +226,6 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
 
     asked = batches.select("batch", "words", "seen").mapInArrow(ask_words, "part int, batch long, words binary, seen binary")
     words = stored(asked.groupBy("part").applyInPandas(count_words, "part int, batch long, numbers binary, counts binary, stats array<long>"), "katz-words")
-    _release()
     rows = [r["stats"] for r in words.filter("batch = -1").select("stats").collect()]  # one for each partition
     sums = [sum(x) for x in zip(*rows)] or [0] * (k + 4)
     total, types, n = sums[0], sums[1], sums[2:]
@@ -251,12 +242,11 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
 
     def ask_bigrams(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
-        hashes = unpack(row["words"]).astype(np.uint64)
-        of = _by_part(hashes, parts)
+        of = unpack(row["owners"])
         number, count = gathered(right, "numbers", of), gathered(right, "counts", of)
         tokens = unpack(row["tokens"])
         learned = np.repeat(np.frombuffer(row["held"], np.uint8) == 0, unpack(row["lengths"]))
-        context, word, at = _bigrams(tokens, len(hashes))
+        context, word, at = _bigrams(tokens, len(of))
         seen = np.bincount(at[learned], minlength=len(context))
         out = []
         by = of[context]
@@ -292,10 +282,8 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
         out.append((part, -1, "model", pack(c[known]), pack(few.T.ravel()), pack(many), lower.tobytes(), pack(contexts), pack(words[word[known]]), _counts_of(c, k)))
         return pd.DataFrame(out, columns=["part", "batch", "kind", "counts", "few", "many", "lower", "contexts", "words", "stats"])
 
-    asked = batches.select("batch", "words", "tokens", "lengths", "held").groupBy("batch").cogroup(answers.select("batch", "part", "numbers", "counts").groupBy("batch")).applyInPandas(ask_bigrams, "part int, batch long, " + blob("contexts runs words word_counts seen"))
+    asked = batches.select("batch", "owners", "tokens", "lengths", "held").groupBy("batch").cogroup(answers.select("batch", "part", "numbers", "counts").groupBy("batch")).applyInPandas(ask_bigrams, "part int, batch long, " + blob("contexts runs words word_counts seen"))
     bigrams = stored(asked.groupBy("part").applyInPandas(count_bigrams, "part int, batch long, kind string, " + blob("counts few many lower contexts words") + ", stats array<long>"), "katz-bigrams", ["kind"])
-    del asked
-    _release()
     rows = [r["stats"] for r in bigrams.filter("kind = 'model'").select("stats").collect()]  # one for each partition
     discounts = Discounts([sum(x) for x in zip(*rows)] or [0] * (k + 2), k)
 
@@ -303,14 +291,13 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
         words_said, pairs_said = right[right["kind"] == "word"], right[right["kind"] == "answer"]
-        hashes = unpack(row["words"]).astype(np.uint64)
-        of = _by_part(hashes, parts)
+        of = unpack(row["owners"])
         count = gathered(words_said, "counts", of)
         tokens, lengths = unpack(row["tokens"]), unpack(row["lengths"])
-        context, word, at = _bigrams(tokens, len(hashes))
+        context, word, at = _bigrams(tokens, len(of))
         by = of[context]
         c = np.zeros(len(context), np.int64)
-        size, weight = np.ones(len(hashes)), np.ones(len(hashes))
+        size, weight = np.ones(len(of)), np.ones(len(of))
         for r in pairs_said.itertuples():
             own = np.flatnonzero(by == r.part)
             c[own] = unpack(r.counts)
@@ -328,7 +315,7 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
 
     said = bigrams.filter("kind = 'answer'").select("batch", "part", "kind", "counts", "few", "many", "lower").union(answers.select("batch", "part", F.lit("word"), "counts", F.lit(None).cast("binary"), F.lit(None).cast("binary"), F.lit(None).cast("binary")))
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return batches.groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(score, schema)
+    return batches.drop("words", "seen").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(score, schema)
 
 
 def _groups(by: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:

@@ -9,6 +9,8 @@ fits and all are open, the fullest closes.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 CAPACITY, OPEN_BINS, ROWS_PER_PACKER = 2048, 512, 40_000
-_CACHED_WORDS, _CACHED_LENGTH = 200_000, 48
+_CACHED_WORDS, _CACHED_LENGTH = 600_000, 48
+
+
+def _kept(name: str) -> dict:
+    """A dictionary that outlives tasks in a reused Python worker; this package itself travels with each task."""
+    return sys.modules.setdefault("_lipikar_kept", types.ModuleType("_lipikar_kept")).__dict__.setdefault(name, {})
 
 
 class WordEncoder:
@@ -29,8 +38,11 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        held = _kept(path)
+        if not held:
+            held |= {"tokenizer": Tokenizer.from_file(path), "words": {}}
+        self.tokenizer = held["tokenizer"]
+        self.cache: dict[str, bytes] = held["words"]
 
     def word(self, w: str) -> bytes:
         ids = self.tokenizer.encode(w, add_special_tokens=False).ids
@@ -141,7 +153,8 @@ def pack_documents(
     block to block and are not gapless.
     """
     order = [docs[key]] if order is None else order
-    pieces = token_pieces(docs, tokenizer_path, order, key, text, capacity, end_id, keep_ids)
+    # Kept, as range partitioning looks at its input twice and tokens are dear.
+    pieces = stored(token_pieces(docs, tokenizer_path, order, key, text, capacity, end_id, keep_ids), "pieces")
     packers = max(1, -(-docs.count() // rows_per_packer))
     by = [F.col(f"o{i}") for i in range(len(order))]
     # The crc keeps equal keys with different texts apart, so that a repeated task finds the same order.

@@ -73,7 +73,7 @@ def mix_sources(
     block_rows: int = 16,
     period: int = 4096,
     temperature: float = 2.0,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 2_000,
     most_sources: int = 1_000,
 ) -> DataFrame:
     """``docs`` with ``mix_block``, ``mix_slot`` and ``mix_offset``; sorting by the last two gives the mixed order.
@@ -118,7 +118,7 @@ def mix_sources(
     sizes = keyed.groupBy(src, null, bucket).count()
     starts = sizes.select(src, null, bucket, F.coalesce(F.sum("count").over(Window.partitionBy(src, null).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(offset))
     numbered = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(src, null, bucket).orderBy(rank, F.col(key))) - 1)
-    # At most one row for each source and 20,000 rows; the join may be broadcast only below Spark's own size limit.
+    # One row for each bucket: Spark broadcasts them below its own size limit only.
     numbered = numbered.join(starts, [src, null, bucket]).withColumn(rank, F.col(rank) + F.col(offset)).withColumn("mix_block", F.floor(F.col(rank) / block_rows))
     known = spark.createDataFrame([(s or "", s is None, n) for s, n in [*shares.items(), *((s, 1) for s in late)]], f"{src} string, {null} boolean, {s_units} long")
     slotted = numbered.join(F.broadcast(known), [src, null]).withColumn(in_period, F.col("mix_block") % F.col(s_units))

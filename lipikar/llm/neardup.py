@@ -7,7 +7,10 @@ candidate groups; candidates are verified on their whole weighted sets.
 
 No group is expanded into pairs. In each candidate group every member is held
 against the group's leader; groups that then still hold several classes choose new
-leaders among the classes, round after round.
+leaders among the classes for a few rounds, which join most of what belongs
+together. What is still apart in a group is then settled exactly: texts that can
+reach the threshold share one of their rarest shingles, and a pair that does is
+verified unless a bound on its overlap excludes it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from .components import connected_components
 WORD = re.compile(r"\w+")
 _MIX, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _CACHED_WORDS = 150_000
+#: Relative error that sums of weights in different orders may have.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -40,6 +45,7 @@ class NearDupParams:
     rows: int = 4
     #: Counters of the document-frequency sketch: its size does not grow with the corpus.
     df_bits: int = 20
+    #: Rounds of leaders before the exact way; they save work and decide nothing.
     rounds: int = 3
     #: Pairs of one leader that are verified together.
     leader_chunk: int = 256
@@ -239,17 +245,77 @@ def signatures(docs: DataFrame, text: str, idf_bytes, params: NearDupParams) ->
     return docs.select(text_node(docs[text]).alias("node"), docs[text]).mapInArrow(work, "node binary, bands array<long>")
 
 
+def texts_of(nodes: DataFrame, docs: DataFrame, representatives: DataFrame, key: str, text: str) -> DataFrame:
+    """``node, t`` for each of ``nodes``, fetched by node and smallest document id, so copies of a text don't meet in one task."""
+    wanted = nodes.join(representatives, "node")
+    rows = docs.select(text_node(docs[text]).alias("node"), docs[key].alias("rep"), F.coalesce(docs[text], F.lit("")).alias("t"))
+    texts = rows.join(wanted.hint("merge"), (rows["node"] == wanted["node"]) & rows["rep"].eqNullSafe(wanted["rep"]), "left_semi")
+    return stored(texts.dropDuplicates(["node"]).select("node", "t"), "neardup-texts")
+
+
+def prefix(ids: np.ndarray, weights: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, weight from each on, weight after each) of a set's rarest members, one of which every set of that similarity shares.
+
+    In one order for all sets, the first member two sets share leaves no overlap
+    before it, so at least ``similarity`` of either set's weight stands from it on.
+    """
+    order = np.lexsort((ids, -rarity))
+    w = weights[order]
+    left = np.cumsum(w[::-1])[::-1]
+    n = int(np.count_nonzero(left >= similarity * left[0] * (1 - SLACK)))
+    return ids[order[:n]], left[:n], left[:n] - w[:n]
+
+
+def open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, representatives: DataFrame, key: str, text: str, idf_bytes, params: NearDupParams) -> DataFrame:
+    """``a, b`` (a < b): all pairs of different classes, among the members of groups that hold several, that no bound excludes.
+
+    A group of two has been verified by its leader. With s the similarity and a, b
+    the sets' weights, a pair needs an overlap of s / (1 + s) * (a + b). At a shared
+    member it is at most what stands before plus the smaller rest from there on.
+    The lighter set of a pair shares one of fewer, still rarer members. Frequent
+    shingles come last, so what a whole group shares makes no candidates by itself.
+    """
+    at = members.join(classes, "node", "left").select("band", F.coalesce("component", "node").alias("class"), "node")
+    several = at.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).filter("n > 2 and low <> high").select("band")
+    nodes = stored(at.join(several, "band").select("node", "class").distinct(), "neardup-open")
+    given = texts_of(nodes.select("node"), docs, representatives, key, text).join(nodes, "node").select("node", "class", "t")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf: Idf = cloudpickle.loads(idf_bytes.value)
+        shingler = Shingler(params.shingle)
+        for batch in batches:
+            found = []
+            for t in batch.column(2):
+                ids, weights = weighted_set(shingler(t.as_py()), idf)
+                found.append((*prefix(ids, weights, idf(ids), params.similarity), float(weights.sum())))
+            own = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            column = lambda k: np.concatenate([x[k] for x in found] or [np.zeros(0)])
+            total = pa.array([x[3] for x in found], pa.float64()).take(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(column(0).astype(np.uint64).view(np.int64)), total, pa.array(column(1), pa.float64()), pa.array(column(2), pa.float64())], names=["node", "class", "shingle", "total", "left", "after"])
+
+    rare = stored(given.mapInArrow(work, "node binary, class binary, shingle long, total double, left double, after double"), "neardup-prefixes")
+    need = params.similarity / (1 + params.similarity) * (1 - SLACK)
+    met = rare.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.count("*") / params.leader_chunk).cast("int").alias("chunks")).filter("low <> high").select("shingle", "chunks")
+    rare = stored(rare.join(met, "shingle"), "neardup-prefixes")
+    # The lighter sets of a frequent shingle are dealt out in chunks, the heavier go to each.
+    light = rare.filter(F.col("left") >= 2 * need * F.col("total")).select("*", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")).alias("x")
+    heavy = rare.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).alias("y")
+    ordered = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.node") < F.col("y.node")))
+    both = F.col("x.total") + F.col("y.total")
+    enough = F.least("x.left", "y.left") >= need * both
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.class") != F.col("y.class")) & ordered & enough
+    shared = light.join(heavy, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), both.alias("both"), F.least(F.col("x.left") - F.col("x.after"), F.col("y.left") - F.col("y.after")).alias("low"), F.least("x.after", "y.after").alias("rest"))
+    bounded = shared.groupBy("a", "b").agg(F.sum("low").alias("low"), F.min("rest").alias("rest"), F.first("both").alias("both"))
+    return bounded.filter(F.col("low") + F.col("rest") >= need * F.col("both")).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, key: str, text: str, idf_bytes, params: NearDupParams) -> DataFrame:
     """The ``pairs(a, b)`` whose weighted Jaccard similarity reaches the threshold, with it.
 
-    A text of each node in question is fetched by node and smallest document id,
-    so copies of a text don't meet in one task. A leader's text is repeated for
-    each ``leader_chunk`` of its pairs, which keeps a leader of many in many tasks.
+    A leader's text is repeated for each ``leader_chunk`` of its pairs, which keeps
+    a leader of many in many tasks.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(representatives, "node")
-    rows = docs.select(text_node(docs[text]).alias("node"), docs[key].alias("rep"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    texts = rows.join(wanted.hint("merge"), (rows["node"] == wanted["node"]) & rows["rep"].eqNullSafe(wanted["rep"]), "left_semi")
-    texts = stored(texts.dropDuplicates(["node"]).select("node", "t"), "neardup-texts")
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, representatives, key, text)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / params.leader_chunk).cast("int").alias("chunks"))
     left = texts.join(sizes, texts["node"] == sizes["a"]).select("a", F.col("t").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
@@ -316,6 +382,12 @@ def near_duplicate_classes(docs: DataFrame, params: NearDupParams = NearDupParam
             break
         links = more if links is None else links.union(more)
         classes = connected_components(links)
+    # What the leaders left open, whatever round they came to.
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(open_pairs(members, classes, docs, representatives, key, text, idf_bytes, params).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+    if pairs.take(1):
+        links = links.union(verified(pairs, docs, representatives, key, text, idf_bytes, params))
+        classes = connected_components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").count()
     nodes = representatives.join(classes, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     named = nodes.groupBy("component").agg(F.min("rep").alias("class_id"))

@@ -1,11 +1,13 @@
 """Near-dedup, toxicity, language model, pipeline."""
 
+import hashlib
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -78,6 +80,25 @@ def test_op5_against_all_pairs(spark):
     assert kept == sorted({r.class_id for r in got.values()})
 
 
+def test_op5_twins_in_a_group_of_many_classes(spark):
+    """Texts of one template share bands without being alike; twins among them are found though no leader stands near."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    template = [word() for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(50)]
+        texts += [" ".join([*template, *own]), " ".join([*template, *own[:-1], word()])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    params = neardup.NearDupParams(bands=1, rows=1)
+    idf = spark.sparkContext.broadcast(cloudpickle.dumps(neardup.document_frequencies(df, "text", params)))
+    band = {bytes(r.node): r.bands[0] for r in neardup.signatures(df, "text", idf, params).collect()}
+    of = [band[hashlib.md5(t.encode()).digest()] for t in texts]
+    together = [i for i in range(0, len(texts), 2) if of[i] == of[i + 1] and of.count(of[i]) > 8]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(df, params).collect()}
+    assert len(together) > 8 and all(got[i + 1] == i for i in together) and all(c in (i, i - i % 2) for i, c in got.items())
+
+
 def test_op5_samples_estimate_similarity():
     rng = np.random.RandomState(2)
     ids = np.unique(rng.randint(0, 2**62, 900)).astype(np.uint64)

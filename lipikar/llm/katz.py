@@ -54,24 +54,45 @@ def unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64 if width == 8 else np.int64)
 
 
+def smoothed(n: list[int], k: int) -> list[float]:
+    """Simple Good-Turing's counts of counts for r from 1 to k + 1: a line through (log r, log n[r]), weighted by n[r].
+
+    The slope is held at -1.01 or steeper, so that every r* = (r + 1) n[r + 1] / n[r]
+    stays below r; where only one count occurs it is -2.
+    """
+    at = np.array([r for r in range(1, k + 2) if n[r] > 0], float)
+    if not len(at):
+        return [0.0] * (k + 2)
+    x, y, w = np.log(at), np.log([n[int(r)] for r in at]), np.array([n[int(r)] for r in at], float)
+    mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+    slope = (w * (x - mx) * (y - my)).sum() / (w * (x - mx) ** 2).sum() if len(at) > 1 else -2.0
+    slope = min(slope, -1.01)
+    return [0.0, *(float(np.exp(my + slope * (np.log(r) - mx))) for r in range(1, k + 2))]
+
+
 class Discounts:
-    """Good-Turing ratios d(1..k); absolute discounts where Good-Turing isn't usable, as on small corpora."""
+    """Katz's Good-Turing ratios d(1..k).
+
+    They are taken from the counts of counts themselves where all lie between 0 and
+    1, else from counts of counts smoothed by Simple Good-Turing's line, for which
+    they always do: groups of copies make the raw ones uneven. ``method`` says which.
+    """
 
     def __init__(self, n: list[int], k: int):
         """``n[r]`` is the number of types seen r times, for r up to k + 1."""
-        n1, n2 = n[1], n[2]
         self.k = k
-        absolute = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        table = [1.0] * (k + 1)
-        cut = (k + 1) * n[k + 1] / n1 if n1 else 1.0
-        ratios = []
-        for r in range(1, k + 1):
-            star = (r + 1) * n[r + 1] / n[r] if n[r] else 0.0
-            ratios.append((star / r - cut) / (1 - cut) if cut < 1 else 0.0)
-        usable = all(0.0 < d < 1.0 for d in ratios)
-        for r in range(1, k + 1):
-            table[r] = ratios[r - 1] if usable else (r - absolute) / r
-        self.table = np.array(table)
+        ratios = self.ratios(n, k)
+        self.method = "good-turing"
+        if not all(0.0 < d < 1.0 for d in ratios):
+            self.method = "simple good-turing"
+            ratios = self.ratios(smoothed(n, k), k) if any(n[1 : k + 2]) else [0.5] * k
+        self.table = np.array([1.0, *ratios])
+
+    @staticmethod
+    def ratios(n: list[float], k: int) -> list[float]:
+        cut = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
+        star = [(r + 1) * n[r + 1] / n[r] if n[r] else 0.0 for r in range(1, k + 1)]
+        return [(s / r - cut) / (1 - cut) if cut < 1 else 0.0 for r, s in enumerate(star, 1)]
 
     def kept(self, c: np.ndarray) -> np.ndarray:
         """The discounted counts."""

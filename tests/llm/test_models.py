@@ -210,6 +210,20 @@ def test_op8_odd_rows(odd, nothing):
     assert katz.score_documents(nothing, F.lit(False)).count() == 0
 
 
+def test_op8_uneven_counts_are_smoothed():
+    """Copies make n_5 large; the ratios are still Good-Turing's, for smoothed counts of counts."""
+    n = [0, 1000, 300, 120, 100, 90, 20]
+    raw, d = katz.Discounts.ratios(n, 5), katz.Discounts(n, 5)
+    assert not all(0 < x < 1 for x in raw) and d.method == "simple good-turing"
+    assert np.allclose(d.table[1:], katz.Discounts.ratios(katz.smoothed(n, 5), 5)) and all(0 < x < 1 for x in d.table[1:])
+    even = [0, 1000, 300, 140, 80, 50, 34]
+    assert katz.Discounts(even, 5).method == "good-turing" and np.allclose(katz.Discounts(even, 5).table[1:], katz.Discounts.ratios(even, 5))
+    rng = random.Random(6)
+    for _ in range(300):
+        odd = [0, *(rng.choice([0, 1, 7, rng.randrange(10**6)]) for _ in range(6))]
+        assert all(0 < x < 1 for x in katz.Discounts(odd, 5).table[1:])
+
+
 def test_op8_pack_round_trip():
     for a in ([], [0], [1, 255], [70_000, 3], [2**40, 1, 2**63 + 5]):
         x = np.array(a, np.uint64)

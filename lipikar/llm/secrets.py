@@ -49,19 +49,25 @@ CLASSES = (
 )
 
 #: Candidates that match one of these as a whole are known not to be secrets.
-ALLOW = (
-    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"[A-Za-z_-]+",  # words and identifiers: no digit
-    r"[a-z]+(?:[/_-][a-z0-9]+)+/?",  # paths and slugs
-    r"[0-9=_/+-]+",  # numbers, dates, rules
-    r"(?i:.*(?:example|sample|dummy|placeholder|x{6,}|0{8,}|abcdef0?123456|0123456789).*)",
+ALLOW = (r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",)  # UUID
+
+#: Segments, between = / _ + and -, that match one of these are known; those at a candidate's ends don't count.
+KNOWN = (
+    r"[A-Za-z]{0,15}",  # words
+    r"[a-z0-9]{1,11}",  # parts of slugs
+    r"[0-9]+",  # numbers, dates
+    r"(?=.{1,20}\Z)(?i:.*(?:example|sample|dummy|placeholder|x{6,}|0{8,}|abcdef0?123456|0123456789).*)",
 )
+SEGMENT = re.compile(r"[^=/_+-]+")
+#: Candidates shorter than the window count from this length on, by a bound in proportion to the most bits they can have.
+SHORT_LEAST = 16
 
 
 @dataclass(frozen=True)
 class SecretRules:
     classes: tuple[EntropyClass, ...] = CLASSES
     allow: tuple[str, ...] = ALLOW
+    known: tuple[str, ...] = KNOWN
     extra_allow: tuple[str, ...] = field(default=())
 
 
@@ -97,7 +103,8 @@ class Scanner:
     """Finds ``(kind, start, end)`` in whole texts, in code points."""
 
     def __init__(self, rules: SecretRules = SecretRules()):
-        self.classes = [(re.compile(f"[{c.alphabet}]{{{c.window},}}"), c) for c in rules.classes]
+        self.classes = [(re.compile(f"[{c.alphabet}]{{{min(c.window, SHORT_LEAST)},}}"), c) for c in rules.classes]
+        self.known = re.compile("|".join(f"(?:{a})" for a in rules.known))
         self.allow = re.compile("|".join(f"(?:{a})" for a in (*rules.allow, *rules.extra_allow)))
 
     @staticmethod
@@ -116,7 +123,16 @@ class Scanner:
                 run = m.group()
                 if self.allow.fullmatch(run):
                     continue
-                spans += [(m.start() + a, m.start() + b) for a, b in hot_windows(run, c.window, c.bits) if not self.allow.fullmatch(run[a:b])]
+                unknown = [x.span() for x in SEGMENT.finditer(run) if not self.known.fullmatch(x.group())]
+                if not unknown:
+                    continue
+                first, end = unknown[0][0], unknown[-1][1]
+                n = end - first
+                if n < SHORT_LEAST:
+                    continue
+                window = min(n, c.window)
+                at = m.start() + first
+                spans += [(at + a, at + b) for a, b in hot_windows(run[first:end], window, c.bits * math.log2(window) / math.log2(c.window))]
         out: list[tuple[int, int]] = []
         for a, b in sorted(spans):
             if out and a <= out[-1][1]:
@@ -166,6 +182,19 @@ def scan_secrets(docs: DataFrame, text: str = "text", rules: SecretRules = Secre
     return given.mapInArrow(work, schema)
 
 
+def pieces(scanner: Scanner, text: str) -> list[str]:
+    """What stands between findings; what one leaves of a run may be a candidate of its own, so pieces are scanned again."""
+    out, done, hit = [], 0, False
+    for _, a, b in scanner.scan(text)[1]:
+        hit = True
+        if b <= done:
+            continue
+        if a >= done:
+            out.append(text[done:a])
+        done = b
+    return [p for x in (*out, text[done:]) for p in pieces(scanner, x)] if hit else [text]
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", rules: SecretRules = SecretRules()) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark``; overlapping findings give one mark. Columns and rows stay as they are; a null text stays null."""
     schema, at = docs.schema, docs.columns.index(text)
@@ -178,14 +207,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", rules: S
                 if (t := s.as_py()) is None:
                     out.append(None)
                     continue
-                parts, done = [], 0
-                for _, a, b in scanner.scan(t)[1]:
-                    if b <= done:
-                        continue
-                    if a >= done:
-                        parts += [t[done:a], mark]
-                    done = b
-                out.append("".join([*parts, t[done:]]))
+                out.append(mark.join(pieces(scanner, t)))
             columns = list(batch.columns)
             columns[at] = pa.array(out, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)

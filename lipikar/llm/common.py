@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
+import threading
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,25 +28,78 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths of the scratch tables of this process that are still there, oldest first.
+_MADE: list[str] = []
+_WRITES = threading.RLock()
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage.
 
-    Shuffle files of the write are of no use afterwards and go at once.
+    Shuffle files of the write are of no use afterwards and go at once. The
+    session's settings change during the write, so writes of several threads wait
+    for one another. The table stays until ``drop_stored`` or ``clear_stored``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    held = {k: spark.conf.get(k, None) for k in DURING}
+    with _WRITES:
+        held = {k: spark.conf.get(k, None) for k in DURING}
+        try:
+            for k, v in DURING.items():
+                spark.conf.set(k, v)
+            writer.parquet(path)
+        finally:
+            for k, v in held.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        _MADE.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes scratch tables that ``stored`` gave; nothing made from them may be read afterwards."""
+    for t in tables:
+        if (path := getattr(t, "stored_at", None)) in _MADE:
+            _delete(t.sparkSession, [path])
+
+
+def stored_so_far() -> int:
+    return len(_MADE)
+
+
+def clear_stored(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the scratch tables made after the first ``since``, but those in ``keep``: when results made from them have been written."""
+    held = {getattr(t, "stored_at", None) for t in keep}
+    _delete(spark, [p for p in _MADE[since:] if p not in held])
+
+
+def kept(name: str) -> dict:
+    """A dictionary that outlives tasks in a reused Python worker; this package itself travels with each task."""
+    return sys.modules.setdefault("_lipikar_kept", types.ModuleType("_lipikar_kept")).__dict__.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Hands memory that a task has freed back to the system: idle workers of earlier stages stay beside those of the next."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
-        for k, v in DURING.items():
-            spark.conf.set(k, v)
-        writer.parquet(path)
-    finally:
-        for k, v in held.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries do without
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Fingerprints, secrets, licenses."""
 
 import hashlib
+import itertools
 import math
 import re
 
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -22,35 +24,92 @@ def edited(rows):
     return out
 
 
+def blocks_of(paragraph):
+    return regex.findall(fingerprints.BLOCK, paragraph)
+
+
+def dice_of_blocks(a, b):
+    x, y = ({w for p in t.split("\n") for w in blocks_of(p)} for t in (a, b))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
 def test_op1_against_brute_force(spark, tiny):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tiny}/{DOCS}").collect()}
     want = edited(list(docs.items()))
+    order = sorted(docs, reverse=True)
+    after = {i: docs[order[(n + 1) % len(order)]] for n, i in enumerate(order)}
     got = queries.op1_fingerprints(spark, tiny).collect()
     assert sorted(r.doc_id for r in got) == sorted(docs)
     prints = {}
     for r in got:
-        assert r.n_chars == len(docs[r.doc_id]) and r.edited_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
-        assert (r.fingerprint == r.edited_fingerprint) == (want[r.doc_id] == docs[r.doc_id]) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        prints.setdefault(docs[r.doc_id], set()).add(r.fingerprint)
+        text = docs[r.doc_id]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest()
+        assert (r.fingerprint == r.edited_fingerprint) == (want[r.doc_id] == text)
+        for near, other in ((r.near_edited, want[r.doc_id]), (r.near_next, after[r.doc_id])):
+            exact = 1.0 if other == text else min(fingerprints.ALIKE, dice_of_blocks(text, other))
+            few = max(len({w for p in t.split("\n") for w in blocks_of(p)}) for t in (text, other)) < fingerprints.SKETCH
+            assert abs(near - exact) < (1e-9 if few else 0.27)
+        lines = [a != b for a, b in itertools.zip_longest(text.split("\n"), want[r.doc_id].split("\n"))]
+        assert r.n_edited_paragraphs == sum(lines) and r.first_edited_paragraph == (lines.index(True) if any(lines) else None)
+        prints.setdefault(text, set()).add(r.fingerprint)
     assert all(len(p) == 1 for p in prints.values()) and len({min(p) for p in prints.values()}) == len(prints)
-    assert sum(r.near_edited for r in got) / len(got) > 0.4 > 0.15 > sum(r.near_next for r in got) / len(got)
+    errors = [r.near_edited - dice_of_blocks(docs[r.doc_id], want[r.doc_id]) for r in got if r.near_edited < 1]
+    assert abs(sum(errors) / len(errors)) < 0.02 and (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.08
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abe s.\t\r\x0b日本。、語\u00a0é1x")), max_size=90))
+def test_op1_blocks_cover_the_text(text):
+    assert "".join(blocks_of(text)) == text and all(blocks_of(text))
+
+
+def test_op1_likeness_of_fingerprints(spark):
+    words = [f"w{n * 7919 % 10007}{'aeghzxyv'[n % 8]}" for n in range(400)]
+    plain = " ".join(words)
+    texts = {
+        "put in front": ("new " + plain, 0.97, 1.0),
+        "one word gone": (" ".join(words[:200] + words[201:]), 0.95, 1.0),
+        "half": (" ".join(words[:200] + [w[::-1] + "q" for w in words[200:]]), 0.35, 0.65),
+        "other": (" ".join(w[::-1] + "q" for w in words), 0.0, 0.02),
+    }
+    cjk = "".join(chr(0x4E00 + n * 37 % 5000) for n in range(360))
+    rows = [(k, plain, t) for k, (t, _, _) in texts.items()] + [("cjk", cjk, cjk[:180] + cjk[:180][::-1]), ("spaces", " ", "  "), ("lines", "", "\n")]
+    df = spark.createDataFrame(rows, "name string, a string, b string")
+    x = fingerprints.fingerprint_documents(df, "a").withColumnRenamed("fingerprint", "fa").drop("fp_paragraphs", "fp_sections")
+    y = fingerprints.fingerprint_documents(x, "b")
+    got = {r["name"]: r["n"] for r in y.select("name", fingerprints.likeness(F.col("fa"), F.col("fingerprint")).alias("n")).collect()}
+    for k, (_, low, high) in texts.items():
+        assert low <= got[k] < high, (k, got[k])
+    assert 0.3 < got["cjk"] < 0.7 and got["spaces"] < 1 and got["lines"] < 1
 
 
 def test_op1_order_holds_over_buckets(spark):
     rows = [(i * i % 997 * (-1) ** i, f"text number {i} " * (1 + i % 4)) for i in range(997) if i]
     rows = list(dict(rows).items())
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    got = {r.id: r.next_text for r in fingerprints.with_next(df, rows_per_bucket=40).collect()}
+    got = {r.id: r.next_text for r in fingerprints.with_next(df, rows_per_bucket=40)[0].filter("own").collect()}
     order = sorted(rows, reverse=True)
     assert got == {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
 
 
+def test_op1_equal_keys_are_split(spark):
+    df = spark.createDataFrame([(None if i % 2 else 5, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(4)
+    whole = fingerprints.with_next(df, rows_per_bucket=20)[0]
+    assert whole.groupBy("bucket").count().agg(F.max("count")).first()[0] < 120
+    follows = {r.text: r.next_text for r in whole.filter("own").collect()}
+    at, seen = "text 0", set()
+    while at not in seen:
+        seen.add(at)
+        at = follows[at]
+    assert len(seen) == 400
+
+
 def test_op1_edits_are_located(spark):
     a = "\n".join(f"line {n} of the text" for n in range(40))
     b = a.replace("line 21 ", "LINE 21 ")
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    x = fingerprints.fingerprint_documents(df, "a").withColumnsRenamed({"fp_paragraphs": "pa", "fp_sections": "sa", "fingerprint": "fa", "fp_leaves": "la"})
-    y = fingerprints.fingerprint_documents(x, "b").select("fa", "fingerprint", fingerprints.edits(F.col("pa"), F.col("sa"), F.col("fp_paragraphs"), F.col("fp_sections")).alias("e"), fingerprints.likeness(F.col("la"), F.col("fp_leaves")).alias("l")).first()
+    x = fingerprints.fingerprint_documents(df, "a").withColumnsRenamed({"fp_paragraphs": "pa", "fp_sections": "sa", "fingerprint": "fa"})
+    y = fingerprints.fingerprint_documents(x, "b").select("fa", "fingerprint", fingerprints.edits(F.col("pa"), F.col("sa"), F.col("fp_paragraphs"), F.col("fp_sections")).alias("e"), fingerprints.likeness(F.col("fa"), F.col("fingerprint")).alias("l")).first()
     assert y.fa != y.fingerprint and y.e == [21] and 0.8 < y.l < 1
 
 
@@ -58,7 +117,10 @@ def test_op1_odd_rows(odd, nothing):
     got = fingerprints.fingerprint_edits(odd, rows_per_bucket=2).collect()
     assert len(got) == 11 and sum(r.doc_id is None for r in got) == 2
     assert len({r.fingerprint for r in got if r.n_chars == 0}) == 1
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fingerprints.fingerprint_edits(nothing).count() == 0
+    alone = fingerprints.fingerprint_edits(odd.filter("doc_id = 7")).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
 def naive_base(text):

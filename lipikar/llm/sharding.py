@@ -7,12 +7,10 @@ cut at equal targets. Only ids, sizes and hashes move; texts stay where they are
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, fresh, stored
 
 
 def byte_size(text: Column) -> Column:
@@ -20,9 +18,32 @@ def byte_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    t = F.coalesce(docs[text], F.lit(""))
-    return docs.select(docs[key].alias("key"), F.xxhash64(t).alias("tie"), F.crc32(t.cast("binary")).alias("text_crc32"), byte_size(docs[text]).alias("size"))
+def _dealt(docs: DataFrame, key: Column, text: Column, name: str, keep: list[Column]) -> DataFrame:
+    """Rows in key order, numbered by partition and place: ``keep`` with ``size, part, at``.
+
+    The boundaries of a range partitioning are sampled, so what has been dealt out
+    is stored. Rows that repeat key and text are told apart by where they came
+    from, so they can be dealt to several partitions.
+    """
+    tie = F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    rows = docs.select(*keep, byte_size(text).alias("__size"), key.alias("__key"), tie.alias("__tie"), F.monotonically_increasing_id().alias("__from"))
+    order = [F.col("__key").asc_nulls_first(), F.col("__tie"), F.col("__from")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stored(ordered.drop("__key", "__tie", "__from").select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at")), name)
+
+
+def _cut(dealt: DataFrame, n_shards: int) -> DataFrame:
+    """``dealt`` with ``__shard`` and ``__row``, its number in the whole order."""
+    everything = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # One row for each partition, however many documents there are.
+    totals = dealt.groupBy("__part").agg(F.sum("__size").alias("bytes"), F.count("*").alias("rows"))
+    starts = totals.select("__part", F.coalesce(F.sum("bytes").over(everything), F.lit(0)).alias("__bytes_before"), F.coalesce(F.sum("rows").over(everything), F.lit(0)).alias("__rows_before"), F.sum("bytes").over(whole).alias("__total"))
+    inner = Window.partitionBy("__part").orderBy("__at")
+    placed = dealt.select("*", (F.sum("__size").over(inner) - F.col("__size")).alias("__before"), (F.row_number().over(inner) - 1).alias("__n")).join(F.broadcast(starts), "__part")
+    middle = 2 * (F.col("__bytes_before") + F.col("__before")) + F.col("__size")
+    shard = F.least(F.floor(middle.cast("decimal(38,0)") * n_shards / (2 * F.col("__total"))), F.lit(n_shards - 1)).cast("int")
+    return placed.select(*dealt.columns, shard.alias("__shard"), (F.col("__rows_before") + F.col("__n")).alias("__row"))
 
 
 def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,53 +55,36 @@ def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str
     a shard is off its target by less than one row at either end. A row larger
     than the target takes a shard to itself and may leave a neighbour empty.
     ``slot`` counts from 0 in each shard without gaps. Null and empty texts have
-    size 1. An empty table gives an empty result.
+    size 1. An empty table gives an empty result; other columns don't come out.
     """
-    ordered = _keyed(docs, key, text).repartitionByRange(F.col("key").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
-    # The boundaries of a range partitioning are sampled: what has been dealt out is kept.
-    dealt = stored(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "shard-keys")
-    everything = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row for each partition, however many documents there are.
-    totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    starts = totals.select("part", F.coalesce(F.sum("bytes").over(everything), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("rows").over(everything), F.lit(0)).alias("rows_before"), F.sum("bytes").over(whole).alias("total"))
-    inner = Window.partitionBy("part").orderBy("at")
-    placed = dealt.select("*", (F.sum("size").over(inner) - F.col("size")).alias("before"), (F.row_number().over(inner) - 1).alias("row")).join(F.broadcast(starts), "part")
-    middle = 2 * (F.col("bytes_before") + F.col("before")) + F.col("size")
-    shard = F.least(F.floor(middle.cast("decimal(38,0)") * n_shards / (2 * F.col("total"))), F.lit(n_shards - 1)).cast("int")
-    cut = stored(placed.select("key", "size", "text_crc32", "tie", shard.alias("shard"), (F.col("rows_before") + F.col("row")).alias("global_row")), "shard-cuts")
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
+    dealt = _dealt(docs, docs[key], docs[text], "shard-keys", [docs[key].alias("__id"), F.crc32(t.cast("binary")).alias("text_crc32")])
+    cut = stored(_cut(dealt, n_shards), "shard-cuts")
+    drop_stored(dealt)
     # One row for each shard.
-    first = cut.groupBy("shard").agg(F.min("global_row").alias("first_row"))
-    return cut.join(F.broadcast(first), "shard").select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("global_row") - F.col("first_row")).alias("slot"), "tie")
+    first = cut.groupBy("__shard").agg(F.min("__row").alias("__first"))
+    return cut.join(F.broadcast(first), "__shard").select(F.col("__id").alias(key), F.col("__size").alias("size"), "text_crc32", F.col("__shard").alias("shard"), (F.col("__row") - F.col("__first")).cast("long").alias("slot"))
 
 
-@dataclass(frozen=True)
-class Cut:
-    """The first row of a shard."""
+def write_shards(docs: DataFrame, path: str, n_shards: int, key: str = "doc_id", text: str = "text") -> str:
+    """Writes ``docs`` as Parquet under ``path/shard=<k>/`` by the law of ``assign_shards`` and returns the folders' column name.
 
-    shard: int
-    key: int | None
-    tie: int
-
-
-def shard_cuts(assigned: DataFrame, key: str = "doc_id") -> list[Cut]:
-    """The first row of every shard that has rows: ``n_shards`` rows at most."""
-    rows = assigned.filter("slot = 0").select("shard", key, "tie").orderBy("shard").collect()
-    return [Cut(r["shard"], r[key], r["tie"]) for r in rows]
-
-
-def shard_of(cuts: list[Cut], key: Column, tie: Column) -> Column:
-    """The shard of a row by comparison with the cuts, without a join or shuffle."""
-    out = F.lit(cuts[0].shard if cuts else 0)
-    for c in cuts[1:]:
-        at = F.lit(c.key)
-        beyond = (tie >= c.tie) | key.isNotNull() if c.key is None else (key > at) | ((key == at) & (tie >= c.tie))
-        out = F.when(F.coalesce(beyond, F.lit(False)), F.lit(c.shard)).otherwise(out)
-    return out.cast("int")
-
-
-def write_shards(docs: DataFrame, path: str, n_shards: int, key: str = "doc_id", text: str = "text") -> None:
-    """Writes ``docs`` as Parquet under ``path/shard=<k>/``; rows of a shard are one contiguous range of the key order."""
-    cuts = shard_cuts(assign_shards(docs, n_shards, key, text), key)
-    tie = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    docs.withColumn("shard", shard_of(cuts, docs[key], tie)).write.partitionBy("shard").parquet(path)
+    The rows of a shard are one contiguous range of the key order, and its files
+    hold them in that order; rows that repeat key and text are cut like others. All
+    columns stay: where ``docs`` has a column ``shard``, the folders are called by
+    the first free one of ``_shard``, ``__shard`` and so on. Rows move once; an
+    empty table writes a table without rows.
+    """
+    names = docs.columns
+    (folder,) = fresh(docs, "shard")
+    dealt = _dealt(docs.toDF(*[f"c{i}" for i in range(len(names))]), F.col(f"c{names.index(key)}"), F.col(f"c{names.index(text)}"), "shard-rows", [F.col(f"c{i}") for i in range(len(names))])
+    # Where shards begin, in partitions and places: one row for each shard.
+    cut = _cut(dealt.select("__size", "__part", "__at"), n_shards)
+    begins = cut.groupBy("__shard").agg(F.min(F.struct("__part", "__at")).alias("b")).orderBy("__shard").collect()
+    shard = F.lit(begins[0]["__shard"] if begins else 0)
+    for r in begins[1:]:
+        part, at = r["b"]["__part"], r["b"]["__at"]
+        shard = F.when((F.col("__part") > part) | ((F.col("__part") == part) & (F.col("__at") >= at)), F.lit(r["__shard"])).otherwise(shard)
+    dealt.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], shard.alias(folder)).write.partitionBy(folder).parquet(path)
+    drop_stored(dealt)
+    return folder

@@ -6,33 +6,30 @@ the probability of their weighted Jaccard similarity; samples in bands give
 candidate groups; candidates are verified on their whole weighted sets.
 
 No group is expanded into pairs. In each candidate group every member is held
-against the group's leader; groups that then still hold several classes choose new
-leaders among the classes for a few rounds, which join most of what belongs
-together. What is still apart in a group is then settled exactly: texts that can
-reach the threshold share one of their rarest shingles, and a pair that does is
-verified unless a bound on its overlap excludes it.
+against the group's leader, which joins most of what belongs together; further
+rounds may choose new leaders among the classes of a group. What is still apart in
+a group is then settled exactly: texts that can reach the threshold share one of
+their rarest shingles, and a pair that does is verified unless a bound on its
+overlap excludes it.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, fresh, give_back, stored
 from .components import connected_components
+from .frequencies import UNIT, Idf, summed
+from .words import ID_BITS, Shingler, chunks, mixed, pack_counts, pack_ids, unpack_counts, unpack_ids
 
-WORD = re.compile(r"\w+")
-_MIX, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_CACHED_WORDS = 150_000
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Relative error that sums of weights in different orders may have.
 SLACK = 1e-9
 
@@ -43,79 +40,62 @@ class NearDupParams:
     similarity: float = 0.8
     bands: int = 12
     rows: int = 4
-    #: Counters of the document-frequency sketch: its size does not grow with the corpus.
-    df_bits: int = 20
+    #: Counters in each of the two rows of the document-frequency sketch, whatever the corpus' size.
+    df_bits: int = 19
+    #: Shingles rarer than one in two to the power of this have the same weight.
+    rare_bits: int = 15
+    #: Texts that share one of four smallest shingles with more than one in so many texts count as one document of a group.
+    group_share: int = 4096
     #: Rounds of leaders before the exact way; they save work and decide nothing.
-    rounds: int = 3
+    rounds: int = 1
     #: Pairs of one leader that are verified together.
     leader_chunk: int = 256
     seed: int = 20
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * _MIX2
-    return h ^ (h >> np.uint64(32))
-
-
-class Shingler:
-    """64-bit hashes of a text's word shingles; a text of fewer words is one shingle, one without words none."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.cache: dict[str, int] = {}
-        self.steps = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64) | 1) for k in range(size)]
-
-    def __call__(self, text: str) -> np.ndarray:
-        from xxhash import xxh64_intdigest
-
-        words = WORD.findall(text.lower())
-        if not words:
-            return np.zeros(0, np.uint64)
-        cache = self.cache
-        if len(cache) > _CACHED_WORDS:
-            cache.clear()
-        try:
-            h = np.array([cache[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in cache:
-                    cache[w] = xxh64_intdigest(w)
-            h = np.array([cache[w] for w in words], np.uint64)
-        n = max(1, len(h) - self.size + 1)
-        out = np.zeros(n, np.uint64)
-        for k, step in enumerate(self.steps[: len(h)]):
-            out += h[k : k + n] * step
-        return mixed(out)
-
-
-class Idf:
-    """Document frequencies in a fixed table of hashed counters.
-
-    A shingle rarer than about one part in the table's size gets the same weight as
-    the rarest; the table keeps common ones apart at any corpus size. Weights run
-    from 1 (in all documents) to 1.5 (in none): what a large group of copies shares
-    must not count for so little that its own members no longer reach the threshold.
+class Groups:
+    """How much each text counts among documents: one, or its share of a large group of copies.
+
+    Four hashes of a text's smallest shingles are counted in a table of 2**16
+    counters each. Copies, near ones included, share at least one of them, so the
+    fullest counter tells the size of a text's group, to within the table's noise.
     """
 
-    def __init__(self, bits: int, counts: np.ndarray, documents: int):
-        self.shift = np.uint64(64 - bits)
-        top = np.log1p(max(1, documents))
-        self.weight = (1.0 + 0.5 * np.log((1.0 + documents) / (1.0 + np.minimum(counts, documents))) / top).astype(np.float32)
+    BITS, HASHES = 16, 4
+
+    def __init__(self, counts: np.ndarray, share: int):
+        n = int(counts[: 1 << self.BITS].sum())
+        large = counts.reshape(self.HASHES, -1) * share > max(n, share)
+        self.units = np.where(large, np.maximum(1, UNIT // np.maximum(counts.reshape(self.HASHES, -1), 1)), UNIT).astype(np.int64)
 
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        return self.weight[(mixed(shingles) >> self.shift).astype(np.int64)]
+    @classmethod
+    def counters(cls, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(hashes, texts) places in the flat table."""
+        out = np.empty((cls.HASHES, len(starts)), np.int64)
+        for k in range(cls.HASHES):
+            least = np.minimum.reduceat(mixed(ids + np.uint64((k + 1) << ID_BITS)), starts) if len(starts) else np.zeros(0, np.uint64)
+            out[k] = (mixed(least) >> np.uint64(64 - cls.BITS)).astype(np.int64) + (k << cls.BITS)
+        return out
 
+    def __call__(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Units of each text."""
+        return self.units.ravel()[self.counters(ids, starts)].min(axis=0)
 
-def weighted_set(shingles: np.ndarray, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
-    ids, tf = np.unique(shingles, return_counts=True)
+
+def weighted_set(shingler: Shingler, text: str, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+    ids, tf = shingler.one(text)
     return ids, tf * idf(ids)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of minima over sum of maxima; 0 if both are empty."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = float(np.minimum(a[1][i], b[1][j]).sum())
+    """Sum of minima over sum of maxima of two sets in ascending order; 0 if both are empty."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][at] == a[0]
+    low = float(np.minimum(a[1][hit], b[1][at[hit]]).sum())
     high = float(a[1].sum() + b[1].sum()) - low
     return low / high if high else 0.0
 
@@ -123,8 +103,10 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 class WeightedSampler:
     """Improved consistent weighted sampling of many sets at a time.
 
-    The Gamma(2, 1) variates r and c and the uniform b of a (shingle, sample) come
-    from a table of 2**14 triples, which a core's cache holds, at a hash of both, the same for all documents.
+    The variates of a (shingle, sample) are the same for all documents: Gamma(2, 1)
+    r with the uniform b from one table of 2**14 entries, Gamma(2, 1) c from
+    another, at different bits of a hash of both. A core's cache holds the tables,
+    and 2**28 combinations keep the shingles of a long text apart.
     """
 
     BITS = 14
@@ -133,11 +115,11 @@ class WeightedSampler:
         rng = np.random.RandomState(seed)
         n = 1 << self.BITS
         r = rng.gamma(2.0, 1.0, n)
-        log_c = np.log(rng.gamma(2.0, 1.0, n))
+        self.log_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
         b = rng.uniform(0.0, 1.0, n)
         self.r, self.inverse, self.b = r.astype(np.float32), (1.0 / r).astype(np.float32), b.astype(np.float32)
         # log a = log c - r * (t - b) - r
-        self.head = (log_c + r * b - r).astype(np.float32)
+        self.head = (r * b - r).astype(np.float32)
         self.factors = rng.randint(0, 2**63 - 1, samples, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def __call__(self, ids: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -146,10 +128,14 @@ class WeightedSampler:
         log_w = np.log(weights).astype(np.float32)
         sizes = np.diff([*starts, n])
         out = np.empty((len(starts), len(self.factors)), np.uint64)
-        shift = np.uint64(64 - self.BITS)
-        h, part, log_a, t = np.empty(n, np.uint64), *np.empty((3, n), np.float32)
+        shift, shift2, low = np.uint64(64 - self.BITS), np.uint64(64 - 2 * self.BITS), np.uint64((1 << self.BITS) - 1)
+        ids = mixed(ids)  # multiplication spreads only upwards
+        h, at2 = np.empty((2, n), np.uint64)
+        part, log_a, t = np.empty((3, n), np.float32)
         for k, factor in enumerate(self.factors):
             np.multiply(ids, factor, out=h)
+            np.right_shift(h, shift2, out=at2)
+            np.bitwise_and(at2, low, out=at2)
             np.right_shift(h, shift, out=h)
             at = h.view(np.intp)
             np.take(self.inverse, at, out=t, mode="clip")
@@ -161,54 +147,42 @@ class WeightedSampler:
             part *= t
             np.take(self.head, at, out=log_a, mode="clip")
             log_a -= part
+            np.take(self.log_c, at2.view(np.intp), out=part, mode="clip")
+            log_a += part
             hits = np.flatnonzero(log_a == np.repeat(np.minimum.reduceat(log_a, starts), sizes))
             owner = np.searchsorted(starts, hits, side="right") - 1
-            best = hits[np.flatnonzero(np.diff(owner, prepend=-1))]  # ids ascend within a set: ties go to the smallest
+            best = hits[np.flatnonzero(np.diff(owner, prepend=-1))]  # ids come in one order within a set: ties go to the first
             out[:, k] = mixed(ids[best] + t[best].astype(np.int64).astype(np.uint64) * _MIX)
         return out
 
 
 def text_node(text: Column) -> Column:
     """What stands for a text: its MD5, so equal texts are one node."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
 def document_frequencies(docs: DataFrame, text: str, params: NearDupParams) -> Idf:
-    """The sketch over all documents. Each task adds up its own table and hands it on in compressed slices, which are added up by slice."""
-    size, slices = 1 << params.df_bits, 16
-    width = size // slices
-    shift = np.uint64(64 - params.df_bits)
+    """The weights, from all documents in two passes: sizes of groups of copies, then frequencies in which a group counts as one document."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, table, n = Shingler(params.shingle), np.zeros(size, np.uint32), 0
-        for batch in batches:
-            found = [np.unique(shingler(s.as_py() or "")) for s in batch.column(0)]
-            n += len(found)
-            if found:
-                table += np.bincount((mixed(np.concatenate(found)) >> shift).astype(np.int64), minlength=size).astype(np.uint32)
-        if n:
-            parts = [zlib.compress(table[k * width : (k + 1) * width].tobytes(), 1) for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array([*range(slices), -1], pa.int32()), pa.array([*parts, b""], pa.binary()), pa.array([0] * slices + [n], pa.int64())], names=["slice", "counts", "n"])
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        n = 0
-        for f in frames:
-            for k, part, m in zip(f["slice"], f["counts"], f["n"]):
-                n += m
-                if k >= 0:
-                    more = np.frombuffer(zlib.decompress(part), np.uint32).astype(np.uint64)
-                    total[k] = total[k] + more if k in total else more
-        yield pd.DataFrame({"slice": [*total, -1], "counts": [*(zlib.compress(t.tobytes(), 1) for t in total.values()), b""], "n": [0] * len(total) + [n]})
-
-    schema = "slice int, counts binary, n long"
-    merged = docs.select(docs[text]).mapInArrow(count, schema).repartition(slices, "slice").mapInPandas(add, schema)
-    counts, n = np.zeros(size, np.uint64), 0
-    for r in merged.collect():  # one row for each slice
-        n += r["n"]
-        if r["slice"] >= 0:
-            counts[r["slice"] * width : (r["slice"] + 1) * width] += np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    return Idf(params.df_bits, counts, n)
+    def count_groups(texts: list[str], table: np.ndarray) -> int:
+        ids, _, starts, _ = Shingler(params.shingle).sets(texts)
+        table += np.bincount(Groups.counters(ids, starts).ravel(), minlength=len(table))
+        return 0
+
+    groups = Groups(summed(docs, text, Groups.HASHES << Groups.BITS, count_groups)[0], params.group_share)
+    bits = params.df_bits
+
+    def count_shingles(texts: list[str], table: np.ndarray) -> int:
+        ids, _, starts, _ = Shingler(params.shingle).sets(texts)
+        if not len(ids):
+            return 0
+        units = groups(ids, starts)
+        each = np.repeat(units, np.diff([*starts, len(ids)]))
+        for row, at in enumerate(Idf.counters(ids, bits)):
+            np.add.at(table, at + (row << bits), each)
+        return int(units.sum())
+
+    return Idf(bits, params.rare_bits, *summed(docs, text, 2 << bits, count_shingles))
 
 
 def signatures(docs: DataFrame, text: str, idf_bytes, params: NearDupParams) -> DataFrame:
@@ -217,40 +191,62 @@ def signatures(docs: DataFrame, text: str, idf_bytes, params: NearDupParams) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf: Idf = cloudpickle.loads(idf_bytes.value)
         shingler, sampler = Shingler(params.shingle), WeightedSampler(params.bands * params.rows, params.seed)
+        for batch in batches:
+            done = 0
+            for texts in chunks([t or "" for t in batch.column(1).to_pylist()]):
+                ids, tf, starts, of = shingler.sets(texts)
+                if len(of):
+                    samples = sampler(ids, tf * idf(ids), starts)
+                    keys = np.zeros((len(of), params.bands), np.uint64)
+                    for r in range(params.rows):
+                        keys = mixed(keys * np.uint64(31) + samples[:, r :: params.rows])
+                    keys = mixed(keys + np.arange(params.bands, dtype=np.uint64)).astype(np.int64)
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * params.bands, pa.int32()), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + done)), bands], names=["node", "bands"])
+                done += len(texts)
+        give_back()
+
+    return docs.select(text_node(docs[text]).alias("node"), docs[text].cast("string")).mapInArrow(work, "node binary, bands array<long>")
+
+
+def sets_of(nodes: DataFrame, docs: DataFrame, representatives: DataFrame, key: str, text: str, params: NearDupParams) -> DataFrame:
+    """``node, ids, counts`` for each of ``nodes``: the packed shingles of its text, fetched by node and smallest document id, so copies of a text don't meet in one task."""
+    wanted = stored(nodes.join(representatives, "node").select("node", "rep"), "neardup-wanted")
+    rows = docs.select(text_node(docs[text]).alias("node"), docs[key].alias("rep"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+    texts = rows.join(wanted.hint("merge"), (rows["node"] == wanted["node"]) & rows["rep"].eqNullSafe(wanted["rep"]), "left_semi").select("node", "t")
 
-        def flush(nodes, sets):
-            starts = np.cumsum([0, *(len(i) for i, _ in sets[:-1])])
-            samples = sampler(np.concatenate([i for i, _ in sets]), np.concatenate([w for _, w in sets]), starts)
-            keys = np.zeros((len(sets), params.bands), np.uint64)
-            for r in range(params.rows):
-                keys = mixed(keys * np.uint64(31) + samples[:, r :: params.rows])
-            keys = mixed(keys + np.arange(params.bands, dtype=np.uint64)).astype(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * params.bands, pa.int32()), pa.array(keys.ravel()))
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), bands], names=["node", "bands"])
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(params.shingle)
         for batch in batches:
-            nodes, sets, held = [], [], 0
-            for node, s in zip(batch.column(0), batch.column(1)):
-                shingles = shingler(s.as_py() or "")
-                if len(shingles):
-                    nodes.append(node.as_py())
-                    sets.append(weighted_set(shingles, idf))
-                    held += len(sets[-1][0])
-                if held > 40_000:
-                    yield flush(nodes, sets)
-                    nodes, sets, held = [], [], 0
-            if sets:
-                yield flush(nodes, sets)
-
-    return docs.select(text_node(docs[text]).alias("node"), docs[text]).mapInArrow(work, "node binary, bands array<long>")
-
-
-def texts_of(nodes: DataFrame, docs: DataFrame, representatives: DataFrame, key: str, text: str) -> DataFrame:
-    """``node, t`` for each of ``nodes``, fetched by node and smallest document id, so copies of a text don't meet in one task."""
-    wanted = nodes.join(representatives, "node")
-    rows = docs.select(text_node(docs[text]).alias("node"), docs[key].alias("rep"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    texts = rows.join(wanted.hint("merge"), (rows["node"] == wanted["node"]) & rows["rep"].eqNullSafe(wanted["rep"]), "left_semi")
-    return stored(texts.dropDuplicates(["node"]).select("node", "t"), "neardup-texts")
+            nodes, ids, counts, done = [], [], [], 0
+            for texts in chunks(batch.column(1).to_pylist()):
+                all_ids, tf, starts, of = shingler.sets(texts)
+                for i, a, b in zip(of.tolist(), starts.tolist(), [*starts[1:].tolist(), len(all_ids)]):
+                    nodes.append(i + done)
+                    ids.append(pack_ids(all_ids[a:b]))
+                    counts.append(pack_counts(tf[a:b]))
+                done += len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(nodes, pa.int64())), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["node", "ids", "counts"])
+        give_back()
+
+    made = stored(texts.mapInArrow(work, "node binary, ids binary, counts binary"), "neardup-sets")
+    # Rows that repeat key and text came more than once.
+    if stored_rows_repeat(made):
+        once = stored(made.dropDuplicates(["node"]), "neardup-sets")
+        drop_stored(made)
+        made = once
+    drop_stored(wanted)
+    return made
+
+
+def stored_rows_repeat(sets: DataFrame) -> bool:
+    return bool(sets.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").take(1))
+
+
+def opened(ids: bytes, counts: bytes, idf: Idf) -> tuple[np.ndarray, np.ndarray]:
+    """A packed set with its weights."""
+    found = unpack_ids(ids)
+    return found, unpack_counts(counts, len(found)) * idf(found)
 
 
 def prefix(ids: np.ndarray, weights: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,8 +262,8 @@ def prefix(ids: np.ndarray, weights: np.ndarray, rarity: np.ndarray, similarity:
     return ids[order[:n]], left[:n], left[:n] - w[:n]
 
 
-def open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, representatives: DataFrame, key: str, text: str, idf_bytes, params: NearDupParams) -> DataFrame:
-    """``a, b`` (a < b): all pairs of different classes, among the members of groups that hold several, that no bound excludes.
+def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, idf_bytes, params: NearDupParams) -> DataFrame:
+    """``a, b, chunk`` (a < b): all pairs of different classes that share a group of several classes and that no bound excludes.
 
     A group of two has been verified by its leader. With s the similarity and a, b
     the sets' weights, a pair needs an overlap of s / (1 + s) * (a + b). At a shared
@@ -275,141 +271,158 @@ def open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, represen
     The lighter set of a pair shares one of fewer, still rarer members. Frequent
     shingles come last, so what a whole group shares makes no candidates by itself.
     """
-    at = members.join(classes, "node", "left").select("band", F.coalesce("component", "node").alias("class"), "node")
-    several = at.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).filter("n > 2 and low <> high").select("band")
-    nodes = stored(at.join(several, "band").select("node", "class").distinct(), "neardup-open")
-    given = texts_of(nodes.select("node"), docs, representatives, key, text).join(nodes, "node").select("node", "class", "t")
+    at = stored(members.join(classes, "node", "left").select("band", F.coalesce("component", "node").alias("class"), "node"), "neardup-at")
+    several = stored(at.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).filter("n > 2 and low <> high").select("band"), "neardup-several")
+    nodes = stored(at.join(several, "band").groupBy("node", "class").agg(F.collect_set("band").alias("bands")), "neardup-open")
+    drop_stored(at, several)
+    given = sets.join(nodes, "node").select("node", "class", "ids", "counts")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf: Idf = cloudpickle.loads(idf_bytes.value)
-        shingler = Shingler(params.shingle)
         for batch in batches:
             found = []
-            for t in batch.column(2):
-                ids, weights = weighted_set(shingler(t.as_py()), idf)
+            for packed, counts in zip(batch.column(2), batch.column(3)):
+                ids, weights = opened(packed.as_py(), counts.as_py(), idf)
                 found.append((*prefix(ids, weights, idf(ids), params.similarity), float(weights.sum())))
             own = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
             column = lambda k: np.concatenate([x[k] for x in found] or [np.zeros(0)])
             total = pa.array([x[3] for x in found], pa.float64()).take(own)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(column(0).astype(np.uint64).view(np.int64)), total, pa.array(column(1), pa.float64()), pa.array(column(2), pa.float64())], names=["node", "class", "shingle", "total", "left", "after"])
+        give_back()
 
-    rare = stored(given.mapInArrow(work, "node binary, class binary, shingle long, total double, left double, after double"), "neardup-prefixes")
+    whole = stored(given.mapInArrow(work, "node binary, class binary, shingle long, total double, left double, after double"), "neardup-prefixes")
     need = params.similarity / (1 + params.similarity) * (1 - SLACK)
-    met = rare.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.count("*") / params.leader_chunk).cast("int").alias("chunks")).filter("low <> high").select("shingle", "chunks")
-    rare = stored(rare.join(met, "shingle"), "neardup-prefixes")
+    # Written first, so that a frequent shingle can be split in the join.
+    met = stored(whole.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.count("*") / params.leader_chunk).cast("int").alias("chunks")).filter("low <> high").select("shingle", "chunks"), "neardup-met")
+    rare = stored(whole.join(met, "shingle").join(nodes.select("node", "bands"), "node"), "neardup-prefixes")
+    drop_stored(whole, met, nodes)
     # The lighter sets of a frequent shingle are dealt out in chunks, the heavier go to each.
     light = rare.filter(F.col("left") >= 2 * need * F.col("total")).select("*", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")).alias("x")
     heavy = rare.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).alias("y")
     ordered = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.node") < F.col("y.node")))
     both = F.col("x.total") + F.col("y.total")
     enough = F.least("x.left", "y.left") >= need * both
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.class") != F.col("y.class")) & ordered & enough
+    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.class") != F.col("y.class")) & ordered & enough & F.arrays_overlap("x.bands", "y.bands")
     shared = light.join(heavy, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), both.alias("both"), F.least(F.col("x.left") - F.col("x.after"), F.col("y.left") - F.col("y.after")).alias("low"), F.least("x.after", "y.after").alias("rest"))
     bounded = shared.groupBy("a", "b").agg(F.sum("low").alias("low"), F.min("rest").alias("rest"), F.first("both").alias("both"))
-    return bounded.filter(F.col("low") + F.col("rest") >= need * F.col("both")).select("a", "b")
+    # A chunk of a node's pairs each: their number isn't known beforehand, so they are dealt out finely.
+    return bounded.filter(F.col("low") + F.col("rest") >= need * F.col("both")).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int").alias("chunk"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, representatives: DataFrame, key: str, text: str, idf_bytes, params: NearDupParams) -> DataFrame:
-    """The ``pairs(a, b)`` whose weighted Jaccard similarity reaches the threshold, with it.
+def verified(pairs: DataFrame, sets: DataFrame, idf_bytes, params: NearDupParams) -> DataFrame:
+    """The ``pairs(a, b, chunk)`` whose weighted Jaccard similarity reaches the threshold, with it.
 
-    A leader's text is repeated for each ``leader_chunk`` of its pairs, which keeps
-    a leader of many in many tasks.
+    A leader's set goes to each chunk of its pairs, which keeps a leader of many in
+    many tasks. The table is written as it is a link in several later joins.
     """
-    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, representatives, key, text)
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / params.leader_chunk).cast("int").alias("chunks"))
-    left = texts.join(sizes, texts["node"] == sizes["a"]).select("a", F.col("t").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
-    whole = dealt.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(left, ["a", "chunk"])
+    left = pairs.select("a", "chunk").distinct().join(sets.select(F.col("node").alias("a"), F.col("ids").alias("ia"), F.col("counts").alias("ca")), "a")
+    whole = pairs.join(sets.select(F.col("node").alias("b"), F.col("ids").alias("ib"), F.col("counts").alias("cb")), "b").join(left, ["a", "chunk"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf: Idf = cloudpickle.loads(idf_bytes.value)
-        shingler = Shingler(params.shingle)
         last: tuple = (None, None)
         for batch in batches:
             keep, values = [], []
-            for n, (a, ta, tb) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3))):
+            for n, (a, ia, ca, ib, cb) in enumerate(zip(batch.column(0), *(batch.column(k) for k in (2, 3, 4, 5)))):
                 if last[0] != (node := a.as_py()):
-                    last = (node, weighted_set(shingler(ta.as_py()), idf))
-                s = weighted_jaccard(last[1], weighted_set(shingler(tb.as_py()), idf))
+                    last = (node, opened(ia.as_py(), ca.as_py(), idf))
+                s = weighted_jaccard(last[1], opened(ib.as_py(), cb.as_py(), idf))
                 if s >= params.similarity:
                     keep.append(n)
                     values.append(s)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
+        give_back()
 
-    return stored(whole.select("a", "b", "ta", "tb").mapInArrow(work, "a binary, b binary, similarity double"), "neardup-links")
+    return stored(whole.select("a", "b", "ia", "ca", "ib", "cb").mapInArrow(work, "a binary, b binary, similarity double"), "neardup-links")
 
 
-def near_duplicate_classes(docs: DataFrame, params: NearDupParams = NearDupParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, node, class_node, class_id, class_size, links`` for each row of ``docs``; ``node`` is the MD5 of the text, ``class_node`` the least in the class.
-
-    Rows are in one class if a chain of verified links joins their texts; equal
-    texts are always in one, null counting as the empty text. Texts without words
-    are like their exact copies only; texts of fewer than five words are one
-    shingle. ``class_id`` is the least key in the class (nulls last), ``links`` the
-    number of verified links of the row's text. An empty table gives an empty
-    result; other columns don't come out.
-    """
+def class_table(docs: DataFrame, params: NearDupParams, key: str, text: str) -> DataFrame:
+    """``node, rep, rep_rows, copies, component, checked_links``, one stored row for each distinct text."""
     spark = docs.sparkSession
     idf = document_frequencies(docs, text, params)
     idf_bytes = spark.sparkContext.broadcast(cloudpickle.dumps(idf))
     keys = docs.select(docs[key].alias("rep"), text_node(docs[text]).alias("node"))
-    representatives = stored(keys.groupBy("node").agg(F.min("rep").alias("rep")), "neardup-nodes")
+    rows = keys.groupBy("node", "rep").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("rep").isNull().alias("z"), "rep", "n"))
+    representatives = stored(rows.groupBy("node").agg(least.alias("x"), F.sum("n").alias("copies")).select("node", F.col("x.rep").alias("rep"), F.col("x.n").alias("rep_rows"), "copies"), "neardup-nodes")
     marks = stored(signatures(docs, text, idf_bytes, params).groupBy("node").agg(F.first("bands").alias("bands")), "neardup-signatures")
     members = marks.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    members = stored(members.join(shared, "band"), "neardup-members")
-    classes = None
-    links = None
-    for turn in range(params.rounds):
-        if classes is None:
-            at = members.select("band", F.col("node").alias("class"), "node")
-        else:
-            at = members.join(classes, "node", "left").select("band", F.coalesce("component", "node").alias("class"), "node")
-        # One member of each class in each group; then a leader: in the first round the
-        # group's least node, so that groups of the same documents agree; later any.
-        chance = F.struct(F.col("node").alias("rank") if turn == 0 else F.xxhash64("node", "band", F.lit(turn)).alias("rank"), F.col("node"))
-        ones = at if turn == 0 else at.groupBy("band", "class").agg(F.min(chance).alias("x")).select("band", "class", F.col("x")["node"].alias("node"))
-        leaders = ones.groupBy("band").agg(F.min(F.struct(chance.alias("x"), F.col("class"))).alias("l"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("l")["x"]["node"].alias("lead"), F.col("l")["class"].alias("lead_class"))
-        found = ones.join(leaders, "band").filter("class <> lead_class").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        pairs = found.distinct()
-        if links is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "neardup-pairs")
-        tried = pairs if turn == 0 else tried.union(pairs)  # noqa: F821
-        more = verified(pairs, docs, representatives, key, text, idf_bytes, params)
-        if turn and not more.take(1):
-            break
-        links = more if links is None else links.union(more)
-        classes = connected_components(links)
-    # What the leaders left open, whatever round they came to.
+    # Written first, so that the join is one of its own and a large group can be split.
+    leaders = stored(members.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1"), "neardup-leaders")
+    grouped = stored(members.join(leaders, "band"), "neardup-members")
+    drop_stored(marks, leaders)
+    members = grouped.select("band", "node")
+    sets = sets_of(grouped.select("node").distinct(), docs, representatives, key, text, params)
+    chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / params.leader_chunk)).cast("int")
+
+    def candidates(found: DataFrame) -> DataFrame:
+        """``a, b, chunk`` of distinct pairs; a leader's chunks are as many as its largest group asks for."""
+        return found.groupBy("a", "b").agg(F.max("n").alias("n")).select("a", "b", chunk.alias("chunk"))
+
+    tried = stored(candidates(grouped.select(F.col("lead").alias("a"), F.col("node").alias("b"), "n").filter("a <> b")), "neardup-pairs")
+    links = verified(tried, sets, idf_bytes, params)
+    classes = stored(connected_components(links), "neardup-classes")
+    for turn in range(1, params.rounds):
+        at = members.join(classes, "node", "left").select("band", F.coalesce("component", "node").alias("class"), "node")
+        # One member of each class in each group, then one of them to lead.
+        chance = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("rank"), "node")
+        ones = stored(at.groupBy("band", "class").agg(F.min(chance).alias("x")).select("band", "class", "x"), "neardup-ones")
+        leads = stored(ones.groupBy("band").agg(F.min(F.struct("x", "class")).alias("l"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("l.x.node").alias("lead"), F.col("l.class").alias("lead_class"), "n"), "neardup-leaders")
+        found = ones.join(leads, "band").filter("class <> lead_class").select(F.least("lead", "x.node").alias("a"), F.greatest("lead", "x.node").alias("b"), "n")
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stored(candidates(found).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+        tried = tried.unionByName(pairs)
+        links = links.union(verified(pairs, sets, idf_bytes, params))
+        drop_stored(ones, leads, classes)
+        classes = stored(connected_components(links), "neardup-classes")
+    # What the leaders left open.
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(open_pairs(members, classes, docs, representatives, key, text, idf_bytes, params).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
+    pairs = stored(open_pairs(members, classes, sets, idf_bytes, params).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
     if pairs.take(1):
-        links = links.union(verified(pairs, docs, representatives, key, text, idf_bytes, params))
-        classes = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").count()
-    nodes = representatives.join(classes, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    named = nodes.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of_node = nodes.join(named, "component").join(degree, "node", "left").select("node", "class_id", F.coalesce("count", F.lit(0)).alias("links"), "component")
-    copies = keys.groupBy("node").count()
-    sized = stored(of_node.join(copies, "node"), "neardup-classes")
-    size = sized.groupBy("component").agg(F.sum("count").alias("class_size"))
-    whole = sized.join(size, "component").select("node", F.col("component").alias("class_node"), "class_id", "class_size", "links")
-    return keys.join(whole, "node").select(F.col("rep").alias(key), "node", "class_node", "class_id", "class_size", "links")
+        links = links.union(verified(pairs, sets, idf_bytes, params))
+        classes = stored(connected_components(links), "neardup-classes")
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("checked_links"))
+    whole = representatives.join(classes, "node", "left").join(degree, "node", "left")
+    out = stored(whole.select("node", "rep", "rep_rows", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("checked_links", F.lit(0)).cast("long").alias("checked_links")), "neardup-texts")
+    drop_stored(grouped, sets, pairs, classes, representatives)
+    idf_bytes.unpersist()
+    return out
+
+
+def named_classes(texts: DataFrame) -> DataFrame:
+    """``node, class_node, class_id, class_size, checked_links`` from ``class_table``'s rows."""
+    lowest = F.min(F.struct(F.col("rep").isNull().alias("z"), "rep"))
+    named = stored(texts.groupBy("component").agg(lowest.alias("x"), F.sum("copies").alias("class_size")).select("component", F.col("x.rep").alias("class_id"), "class_size"), "neardup-names")
+    return stored(texts.join(named, "component").select("node", F.col("component").alias("class_node"), "class_id", "class_size", "checked_links"), "neardup-classes")
+
+
+def near_duplicate_classes(docs: DataFrame, params: NearDupParams = NearDupParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, node, class_node, class_id, class_size, checked_links`` for each row of ``docs``; ``node`` is the MD5 of the text, ``class_node`` the least in the class.
+
+    Rows are in one class if a chain of verified links joins their texts; equal
+    texts are always in one, null counting as the empty text. Texts without words
+    are like their exact copies only; texts of fewer than five words are one
+    shingle. ``class_id`` is the least key in the class (nulls last).
+    ``checked_links`` counts the links of the row's text that were verified on the
+    way; two members of a class needn't have been held against each other. An
+    empty table gives an empty result; other columns don't come out.
+    """
+    # A table of its own, so that the join can split a text of many copies.
+    whole = named_classes(class_table(docs, params, key, text))
+    keys = docs.select(docs[key].alias("rep"), text_node(docs[text]).alias("node"))
+    return keys.join(whole.hint("merge"), "node").select(F.col("rep").alias(key), "node", "class_node", "class_id", "class_size", "checked_links")
 
 
 def deduplicate(docs: DataFrame, params: NearDupParams = NearDupParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the least key; of rows repeating it, one. All columns stay."""
-    classes = near_duplicate_classes(docs, params, key, text)
-    gone = stored(classes.filter(~F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__id"), "node"), "neardup-gone").withColumnRenamed("node", "__node")
-    marked = docs.select("*", text_node(docs[text]).alias("__text_node"))
-    kept = marked.join(gone.distinct(), marked[key].eqNullSafe(gone["__id"]) & (marked["__text_node"] == gone["__node"]), "left_anti").drop("__text_node")
-    # Rows that share the kept key: exact repetitions of one row, or different texts under one key in one class.
-    twice = classes.filter(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.count("*").alias("n")).filter("n > 1")
-    if not stored(twice, "neardup-twice").take(1):
-        return kept
-    w = classes.select(F.col(key).alias("__id"), F.col("node").alias("__node"), F.col("class_node").alias("__class")).distinct()
-    tagged = kept.withColumn("__text_node", text_node(kept[text])).join(w, kept[key].eqNullSafe(w["__id"]) & (F.col("__text_node") == F.col("__node")))
-    numbered = tagged.withColumn("__row", F.row_number().over(Window.partitionBy("__class").orderBy("__node")))
-    return numbered.filter("__row = 1").select(*docs.columns)
+    """``docs`` with one row of each class: that of the least key, by text where several texts of a class share it; of rows repeating key and text, one. All columns stay."""
+    texts = class_table(docs, params, key, text)
+    lowest = F.min(F.struct(F.col("rep").isNull().alias("z"), "rep", "node", "rep_rows"))
+    a, b = fresh(docs, "kept_id", "kept_node")
+    kept = stored(texts.groupBy("component").agg(lowest.alias("x")).select(F.col("x.rep").alias(a), F.col("x.node").alias(b), F.col("x.rep_rows").alias("rep_rows")), "neardup-kept")
+    ones = kept.hint("merge")
+    out = docs.join(ones, docs[key].eqNullSafe(ones[a]) & (text_node(docs[text]) == ones[b]), "left_semi")
+    if not kept.filter("rep_rows > 1").take(1):
+        return out
+    marked = out.withColumn(b, text_node(out[text]))
+    return marked.dropDuplicates([key, b]).drop(b)

@@ -1,15 +1,17 @@
 """Operator 6, toxicity by nearest labelled examples.
 
-A bounded sample of labelled rows becomes TF-IDF vectors over words and word
-beginnings that mark toxic examples. A block-max inverted index finds each
-document's nearest examples by exact cosine; they vote with their cosines as
-weights, and votes become probabilities by isotonic calibration on
-leave-one-out votes of the examples themselves.
+A bounded sample of labelled rows becomes TF-IDF vectors over all their words. A
+block-max inverted index finds each document's nearest examples by exact cosine;
+they vote with their cosines as weights, and votes become probabilities by
+isotonic calibration on leave-one-out votes of the examples themselves.
+
+Document frequencies are those of all documents. Words that stand out in the toxic
+examples weigh more, by their log-likelihood ratio: without that, what two texts
+have in common is their language. No word is left out.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,157 +22,190 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import drop_stored, give_back, stored
+from .frequencies import UNIT, Idf, summed
+from .words import Shingler, chunks, pack_ids, unpack_ids
 
-WORD = re.compile(r"\w+")
-PREFIXES = (4, 5, 6)
-BLOCK = 128
+BLOCK = 64
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     #: The bound of the labelled sample: so many rows of each class at most, by a hash of doc_id.
-    examples_per_class: int = 4096
-    vocabulary: int = 2048
-    least_df: int = 3
-    #: Of what a term's examples weigh (classes in their natural ratio), so much must be toxic.
-    least_precision: float = 0.6
+    examples_per_class: int = 1024
+    #: Toxic examples that a word must stand in to weigh more than its inverse document frequency.
+    least_support: int = 3
+    #: Power of the log-likelihood ratio in a word's weight.
+    relevance: float = 0.75
+    #: Counters in each row of the document-frequency sketch; rarer words than one in two to the power of ``rare_bits`` weigh alike.
+    df_bits: int = 19
+    rare_bits: int = 15
     neighbours: int = 15
     #: Weight of the base rate against the neighbours' cosines.
-    prior_weight: float = 1.0
+    prior_weight: float = 0.05
     threshold: float = 0.7
 
 
-def word_terms(word: str) -> list[str]:
-    """A word and its beginnings; ``^`` and ``*`` keep the two apart."""
-    return ["^" + word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
-
-
-def term_counts(text: str | None) -> dict[str, int]:
-    counts: dict[str, int] = {}
-    for w in WORD.findall((text or "").lower()):
-        for t in word_terms(w):
-            counts[t] = counts.get(t, 0) + 1
-    return counts
-
-
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted pool-adjacent-violators with one pseudo-observation of the mean in each pool: steps as (from x, value)."""
+    """Weighted pool-adjacent-violators with one pseudo-observation of the mean in each pool: (mean x, value) of each, to be interpolated."""
     mean = float((y * w).sum() / w.sum())
     order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # from, weighted sum, weight
+    pools: list[list[float]] = []  # weighted sums of y and x, weight, greatest x
     for k in order:
-        if pools and pools[-1][0] == x[k]:
-            pools[-1][1] += y[k] * w[k]
-            pools[-1][2] += w[k]
+        if pools and pools[-1][3] == x[k]:
+            pools[-1][:3] = [pools[-1][0] + y[k] * w[k], pools[-1][1] + x[k] * w[k], pools[-1][2] + w[k]]
         else:
-            pools.append([float(x[k]), float(y[k] * w[k]), float(w[k])])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            pools.append([float(y[k] * w[k]), float(x[k] * w[k]), float(w[k]), float(x[k])])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][2] >= pools[-1][0] * pools[-2][2]:
             last = pools.pop()
-            pools[-1][1] += last[1]
-            pools[-1][2] += last[2]
-    unit = float(np.mean(w))
-    xs = np.array([p[0] for p in pools])
-    vs = np.array([(p[1] + mean * unit) / (p[2] + unit) for p in pools])
+            pools[-1] = [*(a + b for a, b in zip(pools[-1][:3], last[:3])), last[3]]
+    unit = float(np.min(w))
+    xs = np.array([p[1] / p[2] for p in pools])
+    vs = np.array([(p[0] + mean * unit) / (p[2] + unit) for p in pools])
     return xs, np.maximum.accumulate(vs)
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all runs, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 class BlockMaxIndex:
-    """Postings of examples cut into blocks of ``BLOCK``; each block of a term keeps its largest weight."""
+    """Postings of examples cut into blocks of ``BLOCK``; each block of a term keeps its largest weight.
+
+    ``vectors`` are pairs of term numbers in ascending order and their weights.
+    """
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
         # Examples with the same heaviest term stand together, so that few blocks hold what a query needs.
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t), default=n_terms), i)), dtype=np.int64)
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (heaviest[i], i)), np.int64)
         self.blocks = max(1, -(-len(vectors) // BLOCK))
-        self.block_max = np.zeros((n_terms + 1, self.blocks))
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(self.order):
-            for t, w in vectors[i].items():
-                b = at // BLOCK
-                postings.setdefault((t, b), []).append((at % BLOCK, w))
-                self.block_max[t, b] = max(self.block_max[t, b], w)
-        self.postings = {k: (np.array([a for a, _ in v]), np.array([w for _, w in v])) for k, v in postings.items()}
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
+        none = np.zeros(0, np.uint64)
+        terms = np.concatenate([vectors[i][0] for i in self.order] or [none])
+        weights = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
+        place = np.repeat(np.arange(len(vectors)), [len(vectors[i][0]) for i in self.order])
+        by = np.lexsort((place, terms))
+        self.place, self.weight = place[by].astype(np.int32), weights[by]
+        # A cell is a term in a block.
+        cell = np.flatnonzero((np.diff(terms[by], prepend=terms[by][:1] + np.uint64(1)) != 0) | (np.diff(self.place // BLOCK, prepend=-1) != 0)) if len(by) else np.zeros(0, np.int64)
+        self.cell_start = np.append(cell, len(by))
+        self.cell_block = (self.place[cell] // BLOCK).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weight, cell) if len(cell) else np.zeros(0)
+        cell_term = terms[by][cell]
+        first = np.flatnonzero(np.diff(cell_term, prepend=cell_term[:1] + np.uint64(1))) if len(cell) else np.zeros(0, np.int64)
+        self.terms, self.term_start = cell_term[first], np.append(first, len(cell))
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> list[tuple[int, float]]:
         """The ``k`` examples of highest positive cosine, ties to the smaller number; exact."""
-        terms = sorted(query)
-        weights = np.array([query[t] for t in terms])
-        bound = weights @ self.block_max[terms] + 1e-12
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 1e-12 or (len(best) >= k and bound[b] < -best[k - 1][0]):
-                break
-            scores = np.zeros(BLOCK)
-            for t, q in zip(terms, weights):
-                if (p := self.postings.get((t, int(b)))) is not None:
-                    scores[p[0]] += q * p[1]
-            hit = np.flatnonzero(scores)
-            best += [(-float(scores[h]), i) for h in hit if (i := int(self.order[b * BLOCK + h])) != without]
-            best = sorted(best)[:k]
-        return [(i, -s) for s, i in best]
+        ids, weights = query
+        if not len(ids) or not len(self.terms):
+            return []
+        at = np.minimum(np.searchsorted(self.terms, ids), len(self.terms) - 1)
+        hit = (self.terms[at] == ids) & (weights > 0)
+        at, weights = at[hit], weights[hit]
+        n = self.term_start[at + 1] - self.term_start[at]
+        cells, share = spread(self.term_start[at], n), np.repeat(weights, n)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, self.cell_max[cells] * share, self.blocks) * (1 + 1e-9)
+        scores = np.zeros(self.blocks * BLOCK)
+        order = np.argsort(-bound, kind="stable")
+        done, todo, least = np.zeros(self.blocks, bool), order[: max(2, self.blocks // 8)], 0.0
+        while len(todo):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[todo] = True
+            own = chosen[block]
+            start = self.cell_start[cells[own]]
+            length = self.cell_start[cells[own] + 1] - start
+            posts = spread(start, length)
+            scores += np.bincount(self.place[posts], self.weight[posts] * np.repeat(share[own], length), len(scores))
+            done |= chosen
+            if without >= 0:
+                scores[self.where[without]] = 0.0
+            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
+            # The next quarter of the blocks that may still hold one of the nearest; then the bound is looked at again.
+            open_ = order[~done[order]]
+            open_ = open_[(bound[open_] >= least) & (bound[open_] > 0)]
+            todo = open_[: max(2, self.blocks // 4)]
+        good = np.flatnonzero((scores > 0) & (scores >= least))
+        ranked = sorted(((-float(scores[p]), int(self.order[p])) for p in good))[:k]
+        return [(i, -s) for s, i in ranked]
+
+    @property
+    def where(self) -> np.ndarray:
+        if not hasattr(self, "_where"):
+            self._where = np.argsort(self.order)
+        return self._where
 
 
 class ToxicityModel:
-    """What a fit leaves: terms, idf, examples, index and calibration, all bounded by the parameters."""
+    """What a fit leaves: word weights, examples, index and calibration, all bounded by the sample and the parameters."""
 
-    def __init__(self, params: ToxicityParams, terms: list[str], idf: list[float], examples: list[tuple[int, int, float, dict[int, int]]], base_rate: float):
-        self.params, self.base_rate = params, base_rate
+    def __init__(self, params: ToxicityParams, idf: Idf | None, examples: list[tuple[int, int, float, np.ndarray, np.ndarray]], base_rate: float):
+        """``examples`` are (doc_id, label, weight, words, counts)."""
+        self.params, self.idf, self.base_rate = params, idf, base_rate
         self.ids = [e[0] for e in examples]
         self.labels = np.array([e[1] for e in examples], dtype=float)
         self.weights = np.array([e[2] for e in examples])
-        self.term_of = {t: k for k, t in enumerate(terms)}
-        self.idf = np.array(idf)
-        vectors = [self.vector(e[3]) for e in examples]
-        self.index = BlockMaxIndex(vectors, len(terms))
-        self.words: dict[str, tuple[int, ...]] = {}
+        self._weigh(examples)
+        vectors = [self.vector(e[3], e[4]) for e in examples]
+        self.index = BlockMaxIndex(vectors)
         self.steps = (np.array([0.0]), np.array([base_rate]))
         if examples:
-            raw = np.array([self.vote(self.index.nearest(v, params.neighbours, without=i)) if v else 0.0 for i, v in enumerate(vectors)])
+            raw = np.array([self.vote(self.index.nearest(v, params.neighbours, without=i)) for i, v in enumerate(vectors)])
             self.steps = isotonic(raw, self.labels, self.weights)
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        out = {t: (1 + np.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = np.sqrt(sum(x * x for x in out.values()))
-        return {t: float(x / norm) for t, x in out.items()} if norm else {}
+    def _weigh(self, examples: list) -> None:
+        """Words that stand out in toxic examples, with their factors."""
+        toxic, clean = [e[3] for e in examples if e[1]], [e[3] for e in examples if not e[1]]
+        none = [np.zeros(0, np.uint64)]
+        self.marked, self.factor = none[0], np.zeros(0)
+        if not toxic or not clean:
+            return
+        words, a = np.unique(np.concatenate(toxic + none), return_counts=True)
+        other, n = np.unique(np.concatenate(clean + none), return_counts=True)
+        b = np.zeros(len(words))
+        if len(other):
+            at = np.minimum(np.searchsorted(other, words), len(other) - 1)
+            b = np.where(other[at] == words, n[at], 0)
+        ratio = a * np.log((a + 0.5) / len(toxic) / ((b + 0.5) / len(clean)))
+        kept = (a >= self.params.least_support) & (ratio > 0)
+        self.marked, self.factor = words[kept], 1.0 + ratio[kept] ** self.params.relevance
+
+    def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words with their weights, of length one."""
+        if not len(words) or self.idf is None:
+            return words, np.zeros(len(words))
+        w = (1.0 + np.log(counts)) * np.maximum(0.0, self.idf(words) - np.log(2.0))
+        if len(self.marked):
+            at = np.minimum(np.searchsorted(self.marked, words), len(self.marked) - 1)
+            w = np.where(self.marked[at] == words, w * self.factor[at], w)
+        norm = np.sqrt((w * w).sum())
+        return words, w / norm if norm else w
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         """Distance-weighted share of toxic neighbours, drawn to the base rate when there are few or far ones."""
         if not near:
-            return 0.0
-        w = np.array([c for _, c in near]) * self.weights[[i for i, _ in near]] / self.weights.min()
-        y = self.labels[[i for i, _ in near]]
-        return float(((w * y).sum() + self.params.prior_weight * self.base_rate) / (w.sum() + self.params.prior_weight))
-
-    def counts(self, text: str) -> dict[int, int]:
-        seen: dict[int, int] = {}
-        words = self.words
-        if len(words) > 300_000:
-            words.clear()
-        for w in WORD.findall(text.lower()):
-            ts = words.get(w)
-            if ts is None:
-                ts = words[w] = tuple(self.term_of[t] for t in word_terms(w) if t in self.term_of)
-            for t in ts:
-                seen[t] = seen.get(t, 0) + 1
-        return seen
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """(probability, nearest examples as (doc_id, cosine))"""
-        v = self.vector(self.counts(text or ""))
-        near = self.index.nearest(v, self.params.neighbours) if v else []
-        xs, vs = self.steps
-        p = vs[max(0, int(np.searchsorted(xs, self.vote(near), side="right")) - 1)]
-        return float(min(1.0, max(0.0, p))), [(self.ids[i], c) for i, c in near[:3]]
+            return self.base_rate
+        i = [k for k, _ in near]
+        w = np.array([c for _, c in near]) * self.weights[i] / self.weights.min()
+        return float(((w * self.labels[i]).sum() + self.params.prior_weight * self.base_rate) / (w.sum() + self.params.prior_weight))
+
+    def score(self, words: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        """(probability, nearest examples as (doc_id, cosine)) of a text's words."""
+        near = self.index.nearest(self.vector(words, counts), self.params.neighbours)
+        p = float(np.interp(self.vote(near), *self.steps))
+        return min(1.0, max(0.0, p)), [(self.ids[i], c) for i, c in near[:3]]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Learns from a sample of labelled rows, ``examples_per_class`` of each class at most, chosen by a hash of the key.
 
     Rows with a null key or label take no part; a document labelled twice counts as
-    toxic if either row says so. Only the sample's texts are read beyond the scan,
-    and they stay on the executors: what reaches the driver is bounded by the
-    sample and the vocabulary. Copies in the sample (same smallest shingle hash)
-    count once, so that one much-copied text doesn't pass for evidence.
+    toxic if either row says so. Document frequencies are counted over all of
+    ``docs``. What reaches the driver are the sample's words and a table of fixed
+    size. Examples of the same text count once for each label, so that one
+    much-copied text doesn't pass for evidence.
     """
     named = labels.select(labels[key].alias("id"), labels[label].alias("y")).dropna().groupBy("id").agg(F.max("y").cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in named.groupBy("y").count().collect()}
@@ -179,46 +214,39 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = To
         part = named.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(params.examples_per_class)
         picked = part if picked is None else picked.union(part)
     # At most twice examples_per_class ids.
-    sample = docs.select(docs[key].alias("id"), docs[text].alias("t")).join(F.broadcast(stored(picked, "toxicity-sample")), "id")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+    chosen = stored(picked, "toxicity-sample")
+    sample = docs.select(docs[key].alias("id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t")
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Shingler(1)
         for batch in batches:
-            for i, y, t in zip(*(c.to_pylist() for c in batch.columns)):
-                words = WORD.findall((t or "").lower())
-                copy = min((xxh64_intdigest(" ".join(words[k : k + 4])) for k in range(max(1, len(words) - 3))), default=0) >> 1
-                terms = term_counts(t) or {"": 0}
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(terms), pa.int64()), pa.array([y] * len(terms), pa.int32()), pa.array([copy] * len(terms), pa.int64()), pa.array(list(terms)), pa.array(list(terms.values()), pa.int64())], names=["id", "y", "copy", "term", "n"])
-
-    rows = stored(sample.select("id", "y", "t").mapInArrow(count, "id long, y int, copy long, term string, n long"), "toxicity-terms")
-    kept = rows.groupBy("copy", "y").agg(F.min("id").alias("id")).select("id")
-    rows = rows.join(kept.distinct(), "id", "left_semi")
-    seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.countDistinct("id").alias("n")).collect()}
-    n_toxic, n_clean = seen.get(1, 0), seen.get(0, 0)
-    if not n_toxic or not n_clean:
-        return ToxicityModel(params, [], [], [], float(n_toxic > 0 and not n_clean))
-    everyone = totals.get(0, 0) + totals.get(1, 0)
-    base_rate = totals.get(1, 0) / everyone
-    weight = {1: totals[1] / n_toxic, 0: totals[0] / n_clean}
-    by_term = rows.filter("n > 0").groupBy("term").agg(F.countDistinct(F.when(F.col("y") == 1, F.col("id"))).alias("a"), F.countDistinct(F.when(F.col("y") == 0, F.col("id"))).alias("b"))
-    a, b = F.col("a") * weight[1], F.col("b") * weight[0]
-    precision = (a + weight[1] * base_rate) / (a + b + weight[1])
-    gain = F.col("a") * F.log((F.col("a") + 0.5) / n_toxic / ((F.col("b") + 0.5) / n_clean))
-    best = by_term.filter((F.col("a") >= params.least_df) & (precision >= params.least_precision)).orderBy(gain.desc(), "term").limit(params.vocabulary).collect()
-    terms = [r["term"] for r in best]
-    idf = [float(np.log((1 + n_toxic + n_clean) / (1 + r["a"] + r["b"])) + 1) for r in best]
-    at = {t: k for k, t in enumerate(terms)}
-    vocabulary = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    found: dict[int, dict[int, int]] = {}
-    for r in rows.join(F.broadcast(vocabulary), "term").select("id", "term", "n").collect():
-        found.setdefault(r["id"], {})[at[r["term"]]] = r["n"]
-    ids = sorted((r["id"], r["y"]) for r in rows.select("id", "y").distinct().collect())
-    return ToxicityModel(params, terms, idf, [(i, y, weight[y], found.get(i, {})) for i, y in ids], base_rate)
-
-
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all, if None) with ``toxic_score`` and ``toxic_evidence``.
+            found = [words.one(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([pack_ids(i) for i, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())], names=["id", "y", "words", "counts"])
+
+    rows = {}
+    for r in sample.mapInArrow(read, "id long, y int, words binary, counts binary").collect():
+        at = (r["y"], bytes(r["words"]), bytes(r["counts"]))
+        rows[at] = min(r["id"], rows.get(at, r["id"]))
+    drop_stored(chosen)
+    seen = {y: sum(k[0] == y for k in rows) for y in (0, 1)}
+    if not seen[0] or not seen[1]:
+        return ToxicityModel(params, None, [], float(bool(seen[1])))
+    bits = params.df_bits
+
+    def count(texts: list[str], table: np.ndarray) -> int:
+        ids, _, _, _ = Shingler(1).sets(texts)
+        for row, at in enumerate(Idf.counters(ids, bits)):
+            table += np.bincount(at + (row << bits), minlength=len(table)) * UNIT
+        return len(texts) * UNIT
+
+    idf = Idf(bits, params.rare_bits, *summed(docs, text, 2 << bits, count))
+    weight = {y: totals[y] / seen[y] for y in (0, 1)}
+    examples = sorted(((i, y, weight[y], unpack_ids(w), np.frombuffer(c, "<u4").astype(float)) for (y, w, c), i in rows.items()), key=lambda e: (e[0], e[1]))
+    return ToxicityModel(params, idf, examples, totals[1] / (totals[0] + totals[1]))
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("toxic_score", "toxic_evidence")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if None) with a score and its evidence, called by ``names``.
 
     Evidence is the three nearest examples as ``struct<doc_id, cosine>``. The score
     depends on the text alone; null and empty texts get that of a document without
@@ -226,21 +254,29 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     shuffle: the model, bounded by its parameters, is broadcast.
     """
     spark = docs.sparkSession
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("toxic_score", "toxic_evidence")]
-    given = docs.select(*[docs[c] for c in names], docs[text].alias("__text"))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    given = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("__text"))
     near = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([*given.schema.fields[:-1], T.StructField("toxic_score", T.DoubleType()), T.StructField("toxic_evidence", near)])
+    schema = T.StructType([*given.schema.fields[:-1], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], near)])
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
     shipped = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = cloudpickle.loads(shipped.value)
+        own: ToxicityModel = cloudpickle.loads(shipped.value)
+        words = Shingler(1)
+        empty = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
-            scores, evidence = [], []
-            for s in batch.column(batch.num_columns - 1):
-                p, e = own.score(s.as_py())
-                scores.append(p)
-                evidence.append([{"doc_id": i, "cosine": c} for i, c in e])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[f.name for f in schema.fields])
+            found = []
+            for texts in chunks([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]):
+                ids, counts, starts, of = words.sets(texts)
+                part: list = [empty] * len(texts)
+                for i, a, b in zip(of.tolist(), starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+                    part[i] = ids[a:b], counts[a:b]
+                found += [own.score(*p) for p in part]
+            scores = pa.array([p for p, _ in found], pa.float64())
+            evidence = pa.array([[{"doc_id": i, "cosine": c} for i, c in e] for _, e in found], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores, evidence], names=[f.name for f in schema.fields])
+        del own
+        give_back()
 
     return given.mapInArrow(work, schema)

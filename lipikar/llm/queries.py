@@ -49,11 +49,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), N_SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
+    return neardup.near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "checked_links")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +96,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_offset")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:

@@ -1,59 +1,78 @@
-"""Operator 8, LM scoring by a Katz backoff bigram model.
+"""Operator 8, LM scoring by a Katz backoff model, of order three unless told otherwise.
 
 Counts are Good-Turing discounted; what that frees in a context goes to words not
-seen there, in proportion to their unigram probabilities, by a weight that makes
-the context's probabilities add up to one. Unigrams back off in the same way to
-one class of unknown words.
+seen there, in proportion to their probability in the context shortened by its
+first word, by a weight that makes the context's probabilities add up to one. So a
+token's probability is found by recursion over shorter contexts. Unigrams back off
+in the same way to one class of unknown words.
 
 The corpus is cut into batches of documents. A batch asks for each of its distinct
-words, then for each of its distinct bigrams, once, in packed columns dealt out by
-a hash of the (first) word; the partition that owns the word adds up the counts of
-all batches, stores its part of the model and answers every batch in the order in
-which it asked. So the traffic is in distinct bigrams of a batch, not in tokens,
-and no table of the whole vocabulary is ever in one place.
+words, then for its distinct n-grams of each order, once, in packed columns dealt
+out by a hash of the word or context; the partition that owns it adds up the
+counts of all batches, stores its part of the model in rows of bounded size and
+answers every batch in the order in which it asked. There are as many partitions as
+batches at least, and a frequent context is dealt to several, so no partition grows
+with the corpus. What an n-gram's context was seen comes from the order below; a
+context seen once, that no held-out text has, is known to the batch that holds it
+and isn't asked for.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import give_back, stored
+from .words import mixed
 
 
 @dataclass(frozen=True)
 class KatzParams:
+    order: int = 3
     #: Counts up to this are discounted.
     cutoff: int = 5
     #: A batch is closed by the document that brings it to so many tokens.
     batch_tokens: int = 1_500_000
+    #: A context seen more often is dealt to several partitions, this many tokens to each.
+    hot: int = 500_000
+    #: N-grams in a row of the stored model.
+    block: int = 1 << 16
 
 
 def pack(a: np.ndarray) -> bytes:
-    """Non-negative integers in the fewest bytes each, plane by plane, deflated."""
+    """Non-negative integers in the fewest bytes each, plane by plane, compressed."""
     width = 1
     top = int(a.max(initial=0))
     while top >> (8 * width):
         width *= 2
     planes = np.ascontiguousarray(a.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+    return bytes([width]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
     width = b[0]
-    planes = np.frombuffer(zlib.decompress(b[1:]), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64 if width == 8 else np.int64)
 
 
+def pack_sorted(a: np.ndarray) -> bytes:
+    """Ascending integers by their differences."""
+    return pack(np.diff(a, prepend=0))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b).astype(np.int64))
+
+
 def smoothed(n: list[int], k: int) -> list[float]:
     """Simple Good-Turing's counts of counts for r from 1 to k + 1: a line through (log r, log n[r]), weighted by n[r].
 
@@ -114,18 +133,10 @@ class Unigrams:
         return np.where(c > 0, self.discounts.kept(c) / self.size, self.unknown)
 
 
-def backoff(total: np.ndarray, few: np.ndarray, many: np.ndarray, lower: np.ndarray, d: Discounts) -> tuple[np.ndarray, np.ndarray]:
-    """(size, weight) of contexts seen ``total`` times.
-
-    ``few[:, r - 1]`` bigrams were seen r times, ``many`` tokens belong to more
-    frequent ones, and the seen words' unigram probabilities add up to ``lower``.
-    A context that frees nothing counts one more observation, for the unseen.
-    """
-    r = np.arange(1, d.k + 1)
-    free = (few * r * (1.0 - d.table[1:])).sum(axis=1)
-    size = np.where(free > 0, total, total + 1.0)
-    free = np.where(free > 0, free, 1.0)
-    return size, free / np.maximum(size, 1.0) / np.maximum(1.0 - lower, 1e-300)
+def freed(few: np.ndarray, d: Discounts) -> np.ndarray:
+    """What the discounts take from contexts in which ``few[:, r - 1]`` words were seen r times; one observation where that is nothing."""
+    free = (few * np.arange(1, d.k + 1) * (1.0 - d.table[1:])).sum(axis=1)
+    return np.where(free > 0, free, 1.0)
 
 
 class _Numbers(dict):
@@ -134,7 +145,7 @@ class _Numbers(dict):
         return n
 
 
-#: The end mark is word 0 of each batch, and the context of each first word.
+#: The end mark is word 0 of each batch; so many of it are the context of a text's first word.
 END = 0
 
 
@@ -146,9 +157,9 @@ def _hashes(words) -> np.ndarray:
     return out
 
 
-def _batches(params: KatzParams, parts: int):
+def _batches(params: KatzParams):
     """Tokenises whole texts: words between ASCII white space with A-Z lower-cased, then the end mark."""
-    names = ["batch", "words", "owners", "seen", "tokens", "lengths", "ids", "no_id", "held"]
+    names = ["batch", "words", "seen", "tokens", "lengths", "ids", "no_id", "held"]
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -163,8 +174,7 @@ def _batches(params: KatzParams, parts: int):
             order = np.concatenate([[END], 1 + np.argsort(-np.bincount(tokens, minlength=len(words))[1:], kind="stable")])
             new = np.empty(len(words), np.int64)
             new[order] = np.arange(len(words))
-            hashes = _hashes(words)[order]
-            row = [first + made, pack(hashes), pack(_by_part(hashes, parts)), pack(seen[order]), pack(new[tokens]), pack(lengths), np.array(ids, np.int64).tobytes(), bytes(empty), bytes(held)]
+            row = [first + made, pack(_hashes(words)[order]), pack(seen[order]), pack(new[tokens]), pack(lengths), np.array(ids, np.int64).tobytes(), bytes(empty), bytes(held)]
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=names)
 
         words, texts, ids, empty, held, size = _Numbers({b"": END}), [], [], [], [], 0
@@ -182,23 +192,167 @@ def _batches(params: KatzParams, parts: int):
                     words, texts, ids, empty, held, size = _Numbers({b"": END}), [], [], [], [], 0
         if texts:
             yield close()
+        del words, texts
+        give_back()
 
     return work
 
 
-def _bigrams(tokens: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct contexts, words, number of each token's bigram): the context of a token is the one before it, of a first word the end mark."""
-    before = np.concatenate([[END], tokens[:-1]])
-    keys, at = np.unique(before * n_words + tokens, return_inverse=True)
-    return keys // n_words, keys % n_words, at
-
-
 def _by_part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes % np.uint64(parts)).astype(np.int64)
 
 
-def _counts_of(c: np.ndarray, k: int) -> list[int]:
-    return np.bincount(np.minimum(c[c > 0], k + 2).astype(np.int64), minlength=k + 3)[: k + 2].tolist()
+def _counts_of(c: np.ndarray, k: int) -> np.ndarray:
+    return np.bincount(np.minimum(c[c > 0], k + 2).astype(np.int64), minlength=k + 3)[: k + 2]
+
+
+def _groups(by: np.ndarray, order: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Values of ``by`` along ``order``, which sorts it, and the stretch of each."""
+    if not len(order):
+        return []
+    cuts = np.flatnonzero(np.diff(by[order])) + 1
+    return [(int(by[g[0]]), g) for g in np.split(order, cuts)]
+
+
+class Grams:
+    """The distinct n-grams of one order in a batch, and what is known of them.
+
+    ``context[g]`` numbers the context, which is an n-gram of the order below, or
+    the one past the last for that of a text's first word; ``word[g]`` is the last
+    word, ``low[g]`` the n-gram without its first word, ``at`` the n-gram of each
+    token. ``columns`` are the context's words by their numbers in the corpus.
+    """
+
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, below_at: np.ndarray, below_n: int, below_columns: np.ndarray, n_words: int, held_tokens: np.ndarray):
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = below_at[:-1]
+        before[starts] = below_n
+        keys, first, self.at = np.unique(before * n_words + tokens, return_index=True, return_inverse=True)
+        self.context, self.word, self.low = keys // n_words, keys % n_words, below_at[first]
+        self.columns = below_columns
+        self.seen = np.bincount(self.at[~held_tokens], minlength=len(keys))
+        self.held = np.bincount(self.at[held_tokens], minlength=len(keys)) > 0
+        self.n = len(keys)
+
+    def learn(self, total: np.ndarray, asked_for: np.ndarray, low_count: np.ndarray, numbers: np.ndarray, parts: int, params: KatzParams) -> None:
+        """``total``: how often each context was seen; ``asked_for``: whether a held-out text has it somewhere. Says where what is asked."""
+        known = total[self.context]
+        self.total, self.low_count = total, low_count
+        # An n-gram whose shorter one, or whose context, was never seen has no count, and one of a
+        # context seen once has that one, unless a held-out text may ask about it.
+        self.alone = (known == 1) & (self.seen == 1) & ~asked_for[self.context]
+        self.asks = (known > 0) & (low_count > 0) & ~self.alone
+        hashes = np.zeros(len(self.columns), np.uint64)
+        for column in self.columns.T:
+            hashes = mixed(hashes + column.astype(np.uint64) + np.uint64(0x9E37))
+        self.salts = np.maximum(1, -(-total // params.hot))
+        salt = (mixed(numbers[self.word].astype(np.uint64)) % self.salts[self.context].astype(np.uint64)).astype(np.uint64)
+        self.owner = _by_part(hashes[self.context] + salt, parts)
+        self.context_owner = _by_part(hashes, parts)
+        # Contexts in which something wasn't seen, for all the batch knows, are asked for by themselves.
+        open_ = np.zeros(len(total), bool)
+        open_[self.context[(known > 0) & (low_count == 0)]] = True
+        self.open = open_
+
+    def cells(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(partition, contexts in ascending order of their columns, their n-grams in that order) for each partition asked."""
+        own = np.flatnonzero(self.asks)
+        by_part = dict(_groups(self.owner, own[np.argsort(self.owner[own], kind="stable")]))
+        alone = np.flatnonzero(self.open)
+        contexts_by = dict(_groups(self.context_owner, alone[np.argsort(self.context_owner[alone], kind="stable")]))
+        out = []
+        for part in sorted(set(by_part) | set(contexts_by)):
+            grams = by_part.get(part, np.zeros(0, np.int64))
+            contexts = np.union1d(self.context[grams], contexts_by.get(part, np.zeros(0, np.int64)))
+            contexts = contexts[np.lexsort(self.columns[contexts].T)]  # by the last word first
+            place = np.empty(len(self.total), np.int64)
+            place[contexts] = np.arange(len(contexts))
+            out.append((part, contexts, grams[np.argsort(place[self.context[grams]], kind="stable")]))
+        return out
+
+    def answered(self, answers: pd.DataFrame, hot: pd.DataFrame, k: int) -> None:
+        """Takes the partitions' answers: ``count``, ``elsewhere`` (a held-out text has it) of n-grams, ``extra``, ``few``, ``lower`` of contexts."""
+        self.count = np.where(self.alone, 1, 0)
+        self.elsewhere = self.held.copy()
+        self.extra = np.zeros(len(self.total), bool)
+        self.few, self.lower = np.zeros((len(self.total), k), np.int64), np.zeros(len(self.total))
+        said = {r.part: r for r in answers.itertuples()}
+        for part, contexts, grams in self.cells():
+            r = said[part]
+            both = unpack(r.a)
+            self.count[grams] = both >> 1
+            self.elsewhere[grams] |= (both & 1) > 0
+            self.extra[contexts] |= unpack(r.b) > 0
+            need = contexts[unpack(r.c) > 0]
+            self.few[need] = unpack(r.d).reshape(k, -1).T
+            self.lower[need] = np.frombuffer(r.e)
+        if len(hot):
+            place = {row.tobytes(): n for n, row in enumerate(self.columns) if self.salts[n] > 1}
+            for r in hot.itertuples():
+                n = place[bytes(r.key)]
+                self.few[n], self.lower[n] = r.few, r.lower
+                self.extra[n] = not any(r.few)
+
+    def size(self) -> np.ndarray:
+        """Observations that a context's probabilities are shares of: one more where the discounts free nothing."""
+        return self.total + self.extra
+
+    def probability(self, lower: np.ndarray, d: Discounts) -> np.ndarray:
+        """Of each n-gram, from that of the shorter one."""
+        size = np.maximum(self.size(), 1).astype(float)
+        weight = freed(self.few, d) / size / np.maximum(1.0 - self.lower, 1e-300)
+        c = self.context
+        return np.where(self.count > 0, d.kept(self.count) / size[c], np.where(self.total[c] > 0, weight[c], 1.0) * lower)
+
+
+class Batch:
+    """A batch with what it has been told so far."""
+
+    def __init__(self, row, said: pd.DataFrame, parts: int, params: KatzParams):
+        self.row, self.parts, self.params = row, parts, params
+        self.tokens, self.lengths = unpack(row["tokens"]), unpack(row["lengths"]).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.held = np.repeat(np.frombuffer(row["held"], np.uint8) != 0, self.lengths)
+        owners = _by_part(unpack(row["words"]).astype(np.uint64), parts)
+        n = len(owners)
+        self.numbers, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        words = said[said["kind"] == "word"]
+        places = dict(_groups(owners, np.argsort(owners, kind="stable")))
+        for r in words.itertuples():
+            self.numbers[places[r.part]], self.count[places[r.part]] = unpack(r.a), unpack(r.b)
+        self.orders: list[Grams] = []
+        self.said = said
+
+    def next_order(self) -> Grams:
+        """The n-grams of one order more; those of the order below must have been answered."""
+        n_words, n = len(self.count), len(self.orders) + 2
+        docs = np.array([self.count[END]])  # how often a text was begun
+        if n == 2:
+            at, size, columns, count, total, elsewhere = self.tokens, n_words, self.numbers[:, None], self.count, self.count, np.ones(n_words, bool)
+        else:
+            g = self.orders[-1]
+            at, size, columns, count, total, elsewhere = g.at, g.n, np.column_stack([g.columns[g.context], self.numbers[g.word]]), g.count, g.count, g.elsewhere
+        columns = np.vstack([columns, np.full((1, n - 1), self.numbers[END])])
+        grams = Grams(self.tokens, self.starts, at, size, columns, n_words, self.held)
+        # Nothing follows an end mark: as a context it is the one before a text.
+        grams.learn(np.append(total, docs), np.append(elsewhere, True), count[grams.low], self.numbers, self.parts, self.params)
+        self.orders.append(grams)
+        return grams
+
+    def take(self) -> Grams:
+        """``next_order`` with its answers."""
+        grams = self.next_order()
+        own = self.said[self.said["order"] == len(self.orders) + 1]
+        grams.answered(own[own["kind"] == "answer"], own[own["kind"] == "hot"], self.params.cutoff)
+        return grams
+
+
+_SAID = "order int, part int, batch long, kind string, a binary, b binary, c binary, d binary, e binary, key binary, few array<long>, lower double, stats array<long>"
+_NAMES = [x.split()[0] for x in _SAID.split(", ")]
+
+
+def _said(**values) -> dict:
+    return dict.fromkeys(_NAMES) | values
 
 
 def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = KatzParams(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,15 +365,15 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
     log10. Without training rows every word is unknown, and both are defined. An
     empty table gives an empty result; other columns don't come out.
 
-    The scratch table ``katz-bigrams`` in the shared folder holds the model, one
-    row (``kind = 'model'``) for each partition of contexts.
+    The scratch tables ``katz-2``, ``katz-3`` and so on hold the model: rows of
+    ``kind = 'model'`` have up to ``block`` n-grams of one partition each.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k = params.cutoff
     given = docs.select(docs[key].cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), docs[text].cast("string").alias("text"))
     blob = lambda names: ", ".join(f"{n} binary" for n in names.split())
-    batches = stored(given.mapInArrow(_batches(params, parts), "batch long, " + blob("words owners seen tokens lengths ids no_id held")), "katz-batches")
+    batches = stored(given.mapInArrow(_batches(params), "batch long, " + blob("words seen tokens lengths ids no_id held")), "katz-batches")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), batches.count())
 
     # --- words
     def ask_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +381,8 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
             for batch, words, seen in zip(*(c.to_pylist() for c in frame.columns)):
                 hashes, c = unpack(words).astype(np.uint64), unpack(seen)
                 of = _by_part(hashes, parts)
-                own = [np.flatnonzero(of == p) for p in range(parts)]
-                some = [p for p in range(parts) if len(own[p])]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array([pack(hashes[own[p]]) for p in some], pa.binary()), pa.array([pack(c[own[p]]) for p in some], pa.binary())], names=["part", "batch", "words", "seen"])
+                own = _groups(of, np.argsort(of, kind="stable"))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int32()), pa.array([batch] * len(own), pa.int64()), pa.array([pack(hashes[g]) for _, g in own], pa.binary()), pa.array([pack(c[g]) for _, g in own], pa.binary())], names=["part", "batch", "words", "seen"])
 
     def count_words(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
@@ -239,110 +392,165 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
         number = np.empty(len(distinct), np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
         number = number * parts + part
-        ends = np.cumsum([len(a) for a in asked])
-        cut = lambda a: [pack(x) for x in np.split(a[at], ends[:-1])]
-        out = pd.DataFrame({"part": part, "batch": frame["batch"], "numbers": cut(number), "counts": cut(total), "stats": [None] * len(frame)})
-        stats = [int(total.sum()), int((total > 0).sum()), *_counts_of(total, k)]
-        return pd.concat([out, pd.DataFrame({"part": [part], "batch": [-1], "numbers": [b""], "counts": [b""], "stats": [stats]})])
+        ends = np.cumsum([len(a) for a in asked])[:-1]
+        out = [_said(order=1, part=part, batch=b, kind="word", a=pack(x), b=pack(y)) for b, x, y in zip(frame["batch"], np.split(number[at], ends), np.split(total[at], ends))]
+        out.append(_said(order=1, part=part, batch=-1, kind="stats", stats=[int(total.sum()), int((total > 0).sum()), *_counts_of(total, k).tolist()]))
+        return pd.DataFrame(out, columns=_NAMES)
 
     asked = batches.select("batch", "words", "seen").mapInArrow(ask_words, "part int, batch long, words binary, seen binary")
-    words = stored(asked.groupBy("part").applyInPandas(count_words, "part int, batch long, numbers binary, counts binary, stats array<long>"), "katz-words")
-    rows = [r["stats"] for r in words.filter("batch = -1").select("stats").collect()]  # one for each partition
-    sums = [sum(x) for x in zip(*rows)] or [0] * (k + 4)
-    total, types, n = sums[0], sums[1], sums[2:]
-    unigrams = Unigrams(n, total, types, k)
-    answers = words.filter("batch >= 0")
-
-    # --- bigrams
-    def gathered(frame: pd.DataFrame, column: str, of: np.ndarray) -> np.ndarray:
-        """What the partitions answered, in the batch's own order."""
-        out = np.zeros(len(of), np.int64)
-        for p, x in zip(frame["part"], frame[column]):
-            out[of == p] = unpack(x)
-        return out
-
-    def ask_bigrams(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = left.iloc[0]
-        of = unpack(row["owners"])
-        number, count = gathered(right, "numbers", of), gathered(right, "counts", of)
-        tokens = unpack(row["tokens"])
-        learned = np.repeat(np.frombuffer(row["held"], np.uint8) == 0, unpack(row["lengths"]))
-        context, word, at = _bigrams(tokens, len(of))
-        seen = np.bincount(at[learned], minlength=len(context))
-        out = []
-        by = of[context]
-        order = np.argsort(by, kind="stable")
-        for p, own in zip(*_groups(by, order)):
-            h = context[own]
-            first = np.flatnonzero(np.diff(h, prepend=-1))
-            out.append((p, row["batch"], pack(number[h[first]]), pack(np.diff([*first, len(h)])), pack(number[word[own]]), pack(count[word[own]]), pack(seen[own])))
-        return pd.DataFrame(out, columns=["part", "batch", "contexts", "runs", "words", "word_counts", "seen"])
-
-    def count_bigrams(frame: pd.DataFrame) -> pd.DataFrame:
-        part = int(frame["part"].iloc[0])
-        heads = [unpack(x).astype(np.int64) for x in frame["contexts"]]
-        runs = [unpack(x).astype(np.int64) for x in frame["runs"]]
-        contexts, h = np.unique(np.concatenate(heads), return_inverse=True)
-        sizes = [int(r.sum()) for r in runs]
-        h_of = np.repeat(h, np.concatenate(runs))
-        words, w = np.unique(np.concatenate([unpack(x).astype(np.int64) for x in frame["words"]]), return_inverse=True)
-        keys, at = np.unique(h_of * len(words) + w, return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([unpack(x) for x in frame["seen"]]), minlength=len(keys)).astype(np.int64)
-        word_count = np.zeros(len(words), np.int64)
-        word_count[w] = np.concatenate([unpack(x) for x in frame["word_counts"]])
-        context, word = keys // len(words), keys % len(words)
-        few = np.stack([np.bincount(context[c == r], minlength=len(contexts)) for r in range(1, k + 1)], axis=1)
-        many = np.bincount(context, weights=np.where(c > k, c, 0), minlength=len(contexts)).astype(np.int64)
-        lower = np.bincount(context, weights=np.where(c > 0, unigrams(word_count[word]), 0.0), minlength=len(contexts))
-        out, done, done_h = [], 0, 0
-        for batch, head, size in zip(frame["batch"], heads, sizes):
-            own = h[done_h : done_h + len(head)]
-            out.append((part, batch, "answer", pack(c[at[done : done + size]]), pack(few[own].T.ravel()), pack(many[own]), lower[own].tobytes(), b"", b"", None))
-            done, done_h = done + size, done_h + len(head)
-        known = c > 0
-        out.append((part, -1, "model", pack(c[known]), pack(few.T.ravel()), pack(many), lower.tobytes(), pack(contexts), pack(words[word[known]]), _counts_of(c, k)))
-        return pd.DataFrame(out, columns=["part", "batch", "kind", "counts", "few", "many", "lower", "contexts", "words", "stats"])
-
-    asked = batches.select("batch", "owners", "tokens", "lengths", "held").groupBy("batch").cogroup(answers.select("batch", "part", "numbers", "counts").groupBy("batch")).applyInPandas(ask_bigrams, "part int, batch long, " + blob("contexts runs words word_counts seen"))
-    bigrams = stored(asked.groupBy("part").applyInPandas(count_bigrams, "part int, batch long, kind string, " + blob("counts few many lower contexts words") + ", stats array<long>"), "katz-bigrams", ["kind"])
-    rows = [r["stats"] for r in bigrams.filter("kind = 'model'").select("stats").collect()]  # one for each partition
-    discounts = Discounts([sum(x) for x in zip(*rows)] or [0] * (k + 2), k)
+    words = stored(asked.groupBy("part").applyInPandas(count_words, _SAID), "katz-1", ["kind"])
+
+    def summed_stats(table: DataFrame, length: int) -> list[int]:
+        """One row of counts of counts for all partitions."""
+        got = table.filter("kind = 'stats'").select(F.posexplode("stats").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
+        return [next((x["n"] for x in got if x["r"] == r), 0) for r in range(length)]
+
+    sums = summed_stats(words, k + 4)
+    total, types = sums[0], sums[1]
+    unigrams = Unigrams(sums[2:], total, types, k)
+    discounts: list[Discounts] = []
+    said = words.filter("kind = 'word'").select(*_NAMES)
+    tables = [words]
+
+    # --- n-grams, order by order
+    def exchange(order: int, said: DataFrame) -> DataFrame:
+        known = list(discounts)
+
+        def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            batch = Batch(left.iloc[0], right, parts, params)
+            for _ in range(2, order):
+                batch.take()
+            below = batch.orders[-1] if batch.orders else None
+            g = batch.next_order()
+            seen_once = np.bincount(np.minimum(g.seen[g.alone], 1), minlength=k + 2)[: k + 2]
+            out = [(-1 - order, 0, b"", b"", b"", b"", b"", b"", b"", b"", b"", seen_once.tolist())]
+            number = int(left["batch"].iloc[0])
+            for part, contexts, grams in g.cells():
+                runs = np.bincount(_places(contexts, g.context[grams], len(g.total)), minlength=len(contexts))
+                columns = [pack_sorted(g.columns[contexts, -1]), *(pack(c) for c in g.columns[contexts, :-1].T)]
+                sizes = below.size()[below.context[_shorter(g, below, contexts)]] if below is not None else np.zeros(0, np.int64)
+                out.append((part, number, _joined(columns), pack(runs), pack(batch.numbers[g.word[grams]]), pack(g.low_count[grams]), pack(g.seen[grams]), pack(g.held[grams]), pack(sizes), pack(g.salts[contexts]), pack(g.open[contexts]), None))
+            return pd.DataFrame(out, columns=["part", "batch", "contexts", "runs", "words", "low", "seen", "held", "sizes", "salts", "open", "stats"])
+
+        def count(frame: pd.DataFrame) -> pd.DataFrame:
+            part = int(frame["part"].iloc[0])
+            if part < 0:  # what batches knew by themselves
+                return pd.DataFrame([_said(order=order, part=part, batch=-1, kind="stats", stats=np.sum([*frame["stats"]], axis=0).tolist())], columns=_NAMES)
+            cells = [[unpack(y) for y in x] for x in zip(*(frame[c] for c in ("runs", "words", "low", "seen", "held", "sizes", "salts", "open")))]
+            columns = [_split(x) for x in frame["contexts"]]
+            matrix = np.concatenate([np.column_stack([*(unpack(c).astype(np.int64) for c in x[1:]), unpack_sorted(x[0])]) for x in columns])
+            contexts, h = _distinct(matrix)
+            runs, word, low, seen, held, sizes, salts, open_ = (np.concatenate([c[i] for c in cells]).astype(np.int64) for i in range(8))
+            h_of = np.repeat(h, runs)
+            words, w = np.unique(word, return_inverse=True)
+            keys, at = np.unique(h_of * len(words) + w, return_inverse=True)
+            c = np.bincount(at, weights=seen, minlength=len(keys)).astype(np.int64)
+            elsewhere = np.bincount(at, weights=held, minlength=len(keys)) > 0
+            context, n = keys // max(len(words), 1), len(contexts)
+            low_of = np.zeros(len(keys), np.int64)
+            low_of[at] = low
+            size_of = np.zeros(n, np.int64)
+            salts_of = np.ones(n, np.int64)
+            salts_of[h] = salts
+            if order > 2:
+                size_of[h] = sizes
+                p = known[-1].kept(low_of) / np.maximum(size_of[context], 1)
+            else:
+                p = unigrams(low_of)
+            few = np.stack([np.bincount(context[c == r], minlength=n) for r in range(1, k + 1)], axis=1)
+            lower = np.bincount(context, weights=np.where(c > 0, p, 0.0), minlength=n)
+            extra = few.sum(axis=1) == 0
+            hot = salts_of > 1
+            out, done, done_h = [], 0, 0
+            for batch, cell in zip(frame["batch"], cells):
+                m, j = len(cell[0]), len(cell[1])
+                own, grams = h[done_h : done_h + m], at[done : done + j]
+                # Backoff weights are sent where something asked for wasn't seen.
+                unseen = np.bincount(np.repeat(np.arange(m), cell[0].astype(np.int64)), weights=c[grams] == 0, minlength=m) > 0
+                need = (unseen | (cell[7] > 0)) & ~hot[own]
+                out.append(_said(order=order, part=part, batch=int(batch), kind="answer", a=pack((c[grams] << 1) | elsewhere[grams]), b=pack(extra[own] & ~hot[own]), c=pack(need), d=pack(few[own[need]].T.ravel()), e=lower[own[need]].tobytes()))
+                out += [_said(order=order, part=part, batch=int(batch), kind="asks", key=contexts[x].tobytes()) for x in np.unique(own[hot[own]])]
+                done, done_h = done + j, done_h + m
+            out += [_said(order=order, part=part, batch=-1, kind="sums", key=contexts[x].tobytes(), few=few[x].tolist(), lower=float(lower[x])) for x in np.flatnonzero(hot)]
+            out.append(_said(order=order, part=part, batch=-1, kind="stats", stats=_counts_of(c, k).tolist()))
+            known_grams = np.flatnonzero(c > 0)
+            for a in range(0, len(known_grams), params.block):
+                g = known_grams[a : a + params.block]
+                ctx, run = np.unique(context[g], return_counts=True)
+                out.append(_said(order=order, part=part, batch=a // params.block, kind="model", a=_joined([pack(x) for x in contexts[ctx].T]), b=pack(run), c=pack(words[keys[g] % len(words)]), d=pack(c[g]), e=lower[ctx[run > 1]].tobytes()))
+            return pd.DataFrame(out, columns=_NAMES)
+
+        asks = batches.drop("seen", "ids", "no_id").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(ask, "part int, batch long, " + blob("contexts runs words low seen held sizes salts open") + ", stats array<long>")
+        # Batches' own counts go to as many groups as there are partitions.
+        asks = asks.withColumn("part", F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("batch", F.monotonically_increasing_id()), F.lit(parts)).cast("int")).otherwise(F.col("part")))
+        return stored(asks.groupBy("part").applyInPandas(count, _SAID), f"katz-{order}", ["kind"])
+
+    for order in range(2, params.order + 1):
+        table = exchange(order, said)
+        tables.append(table)
+        discounts.append(Discounts(summed_stats(table, k + 2), k))
+        # Frequent contexts' sums over the partitions that share them, for the batches that asked.
+        sums_of = table.filter("kind = 'sums'").groupBy("key").agg(F.array(*[F.sum(F.col("few")[r]) for r in range(k)]).alias("few"), F.sum("lower").alias("lower"))
+        hot = table.filter("kind = 'asks'").select("order", "batch", "key").distinct().join(sums_of, "key")
+        none = lambda t: F.lit(None).cast(t)
+        hot = hot.select("order", F.lit(-1).alias("part"), "batch", F.lit("hot").alias("kind"), *[none("binary").alias(x) for x in "abcde"], "key", "few", "lower", none("array<long>").alias("stats"))
+        said = said.union(table.filter("kind = 'answer'").select(*_NAMES)).union(hot)
 
     # --- scores
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.iloc[0]
-        words_said, pairs_said = right[right["kind"] == "word"], right[right["kind"] == "answer"]
-        of = unpack(row["owners"])
-        count = gathered(words_said, "counts", of)
-        tokens, lengths = unpack(row["tokens"]), unpack(row["lengths"])
-        context, word, at = _bigrams(tokens, len(of))
-        by = of[context]
-        c = np.zeros(len(context), np.int64)
-        size, weight = np.ones(len(of)), np.ones(len(of))
-        for r in pairs_said.itertuples():
-            own = np.flatnonzero(by == r.part)
-            c[own] = unpack(r.counts)
-            h = np.unique(context[own])
-            size[h], weight[h] = backoff(count[h], unpack(r.few).reshape(k, -1).T, unpack(r.many), np.frombuffer(r.lower), discounts)
-        lower = unigrams(count[word])
-        seen_before = count[context] > 0
-        p = np.where(c > 0, discounts.kept(c) / size[context], np.where(seen_before, weight[context], 1.0) * lower)
-        base = np.log10((count + 0.1) / (total + 0.1 * (types + 1)))
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        add = lambda x: np.add.reduceat(x, starts)
+        batch = Batch(row, right, parts, params)
+        p, at = unigrams(batch.count), batch.tokens
+        for d in discounts:
+            g = batch.take()
+            p, at = g.probability(p[g.low], d), g.at
+        base = np.log10((batch.count + 0.1) / (total + 0.1 * (types + 1)))
+        add = lambda x: np.add.reduceat(x, batch.starts)
         ids = pd.array(np.frombuffer(row["ids"], np.int64), dtype="Int64")
         ids[np.frombuffer(row["no_id"], np.uint8) != 0] = pd.NA
-        return pd.DataFrame({key: ids, "held_out": np.frombuffer(row["held"], np.uint8) != 0, "n_tokens": lengths, "n_known": add((count[tokens] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base[tokens]), "score": add(np.log10(p)[at])})
+        return pd.DataFrame({key: ids, "held_out": np.frombuffer(row["held"], np.uint8) != 0, "n_tokens": batch.lengths, "n_known": add((batch.count[batch.tokens] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base[batch.tokens]), "score": add(np.log10(p)[at])})
 
-    said = bigrams.filter("kind = 'answer'").select("batch", "part", "kind", "counts", "few", "many", "lower").union(answers.select("batch", "part", F.lit("word"), "counts", F.lit(None).cast("binary"), F.lit(None).cast("binary"), F.lit(None).cast("binary")))
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return batches.drop("words", "seen").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(score, schema)
+    return batches.drop("seen").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(score, schema)
 
 
-def _groups(by: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """Values of ``by`` and where each occurs, in ascending places."""
-    if not len(order):
-        return [], []
-    cuts = np.flatnonzero(np.diff(by[order])) + 1
-    groups = np.split(order, cuts)
-    return [int(by[g[0]]) for g in groups], groups
+def _joined(blobs: list[bytes]) -> bytes:
+    """Several packed columns in one value."""
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def _split(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _places(contexts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    place = np.empty(n, np.int64)
+    place[contexts] = np.arange(len(contexts))
+    return place[of]
+
+
+def _shorter(g: Grams, below: Grams, contexts: np.ndarray) -> np.ndarray:
+    """An n-gram below that has the context without its first word as its own context, for each of ``contexts``."""
+    any_gram = np.zeros(len(g.total), np.int64)
+    any_gram[g.context] = g.low
+    return any_gram[contexts]
+
+
+def _distinct(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, number of each row's)."""
+    if matrix.shape[1] == 1:
+        values, at = np.unique(matrix[:, 0], return_inverse=True)
+        return values[:, None], at
+    # Rows by their columns' ranks, two columns at a time: ranks stay small.
+    code = np.zeros(len(matrix), np.int64)
+    for column in matrix.T:
+        values, rank = np.unique(column, return_inverse=True)
+        _, code = np.unique(code * len(values) + rank, return_inverse=True)
+    first = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+    first[code] = np.arange(len(matrix))
+    return matrix[first], code

@@ -265,52 +265,88 @@ def test_op6_odd_rows(spark, odd, nothing):
         assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, given)).count() == docs.count()
 
 
-def brute_katz(docs, k=5):
+def brute_ratios(counts, k=5):
+    """Katz's discount ratios from a counter of n-grams; where the raw ones don't lie between 0 and 1, from a line through the logarithms."""
+    n = {r: float(sum(c == r for c in counts.values())) for r in range(1, k + 2)}
+
+    def ratios(n):
+        if not n[1]:
+            return None
+        cut = (k + 1) * n[k + 1] / n[1]
+        if cut >= 1 or not all(n[r] for r in range(1, k + 1)):
+            return None
+        return [((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, k + 1)]
+
+    raw = ratios(n)
+    if raw and all(0 < d < 1 for d in raw):
+        return raw
+    seen = [r for r in n if n[r]]
+    weight = sum(n[r] for r in seen)
+    mx, my = (sum(n[r] * f(r) for r in seen) / weight for f in (math.log, lambda r: math.log(n[r])))
+    slope = sum(n[r] * (math.log(r) - mx) * (math.log(n[r]) - my) for r in seen) / sum(n[r] * (math.log(r) - mx) ** 2 for r in seen) if len(seen) > 1 else -2.0
+    slope = min(slope, -1.01)
+    return ratios({r: math.exp(my + slope * (math.log(r) - mx)) for r in n})
+
+
+def brute_katz(docs, order, k=5):
+    """(tokens of each text, word counts, N, P(word | context)) from plain dictionaries; shares nothing with the operator."""
     tok = {i: [*t.encode().lower().split(), "END"] for i, t in docs.items()}
     train = [i for i in docs if zlib.crc32(str(i).encode()) % 10]
-    one, two = Counter(), Counter()
+    grams = [Counter() for _ in range(order + 1)]
     for i in train:
-        one.update(tok[i])
-        two.update(zip(["END", *tok[i][:-1]], tok[i]))
-    hist = lambda c: [sum(v == r for v in c.values()) for r in range(k + 2)]
-    total = sum(one.values())
-    uni, d = katz.Unigrams(hist(one), total, len(one), k), katz.Discounts(hist(two), k)
-    after = defaultdict(dict)
-    for (h, w), c in two.items():
-        after[h][w] = c
-    p1 = lambda w: float(uni(np.array([one[w]]))[0])
-    contexts = {}
-
-    def p(h, w):
-        if not one[h]:
-            return p1(w)
-        if h not in contexts:
-            f = after[h]
-            few = np.array([[sum(c == r for c in f.values()) for r in range(1, k + 1)]])
-            size, weight = katz.backoff(np.array([one[h]]), few, np.array([0]), np.array([sum(map(p1, f))]), d)
-            contexts[h] = float(size[0]), float(weight[0])
-        size, weight = contexts[h]
-        c = after[h].get(w, 0)
-        return float(d.kept(np.array([c]))[0]) / size if c else weight * p1(w)
-
-    return tok, one, total, p
+        padded = ["END"] * (order - 1) + tok[i]
+        for at in range(order - 1, len(padded)):
+            for n in range(1, order + 1):
+                grams[n][tuple(padded[at - n + 1 : at + 1])] += 1
+    ratio = [None] + [brute_ratios(grams[n], k) for n in range(1, order + 1)]
+    kept = lambda n, c: c * ratio[n][c - 1] if c <= k else float(c)
+    total = sum(grams[1].values())
+    free = sum(c - kept(1, c) for c in grams[1].values())
+    size1 = total if free > 0 else total + 1
+    after = [None, None] + [defaultdict(dict) for _ in range(2, order + 1)]
+    for n in range(2, order + 1):
+        for g, c in grams[n].items():
+            after[n][g[:-1]][g[-1]] = c
+    known = {}
+
+    def p(context, w):
+        if not context:
+            c = grams[1][w,]
+            return kept(1, c) / size1 if c else (free if free > 0 else 1.0) / size1
+        follows = after[len(context) + 1].get(context)
+        if not follows:
+            return p(context[1:], w)
+        if context not in known:
+            n = len(context) + 1
+            seen = sum(follows.values())
+            left = sum(c - kept(n, c) for c in follows.values())
+            size = seen if left > 1e-12 else seen + 1
+            known[context] = size, (left if left > 1e-12 else 1.0) / size / (1 - sum(p(context[1:], x) for x in follows))
+        size, weight = known[context]
+        return kept(len(context) + 1, follows[w]) / size if w in follows else weight * p(context[1:], w)
+
+    return tok, Counter({g[0]: c for g, c in grams[1].items()}), total, p
 
 
 def test_op8_against_brute_force(spark, tiny):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
-    tok, one, total, p = brute_katz(docs)
-    for h in ("END", b"the", b"of", next(iter(one))):
-        assert math.isclose(sum(p(h, w) for w in one) + p(h, "UNKNOWN"), 1.0, rel_tol=1e-9)
-    got = katz.score_documents(spark.read.parquet(f"{tiny}/documents.parquet"), remainder(F.col("doc_id"), 10) == 0, katz.KatzParams(batch_tokens=20_000)).collect()
-    assert sorted(r.doc_id for r in got) == sorted(docs)
-    for r in got:
-        t = tok[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), total)
-        assert math.isclose(r.score, sum(math.log10(p(h, w)) for h, w in zip(["END", *t[:-1]], t)), rel_tol=1e-9)
-        assert math.isclose(r.base_score, sum(math.log10((one[w] + 0.1) / (total + 0.1 * (len(one) + 1))) for w in t), rel_tol=1e-9)
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
-    held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    frame = spark.read.parquet(f"{tiny}/documents.parquet")
+    for order, params in ((3, katz.KatzParams(batch_tokens=20_000, hot=300, block=500)), (2, katz.KatzParams(order=2)), (4, katz.KatzParams(order=4, batch_tokens=30_000, hot=50))):
+        tok, one, total, p = brute_katz(docs, order)
+        for h in (("END",) * (order - 1), ("END", b"the")[: order - 1], (b"of", b"the")[: order - 1], tuple(next(t for t in tok.values() if len(t) > 9)[3 : 2 + order])):
+            assert math.isclose(sum(p(h, w) for w in one) + p(h, "UNKNOWN"), 1.0, rel_tol=1e-9)
+        got = katz.score_documents(frame, remainder(F.col("doc_id"), 10) == 0, params).collect()
+        assert sorted(r.doc_id for r in got) == sorted(docs)
+        for r in got:
+            t = tok[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), total)
+            padded = ["END"] * (order - 1) + t
+            want = sum(math.log10(p(tuple(padded[n : n + order - 1]), w)) for n, w in enumerate(t))
+            assert math.isclose(r.score, want, rel_tol=1e-9), (order, r.doc_id, r.score, want)
+            assert math.isclose(r.base_score, sum(math.log10((one[w] + 0.1) / (total + 0.1 * (len(one) + 1))) for w in t), rel_tol=1e-9)
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
+        held = [r for r in got if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 def test_op8_odd_rows(odd, nothing):

@@ -49,6 +49,14 @@ NOTICES = (
     template("mit", "the mit license mit"),
     template("mit", "spdx license identifier mit"),
     template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    template("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    template("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    template("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     template("apache-2", "licensed under the apache license 2 0"),
     template("apache-2", "spdx license identifier apache 2 0"),
     template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
@@ -110,7 +118,8 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = (*BASE, *NOTI
     every verified span, in words from 0, end exclusive, sorted by start; it is
     empty for null, empty and clean texts. A base phrase counts wherever its words
     stand consecutively; other templates count where merged diagonals cover the
-    share of k-grams that they ask for within one and a half times their length.
+    share of k-grams that they ask for within one and a half times their length;
+    k-grams are the same where their 64-bit hashes are.
     Repeated rows come out as often as they went in; a null key is a key; other
     columns don't come out. An empty table gives an empty result.
 

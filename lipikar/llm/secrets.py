@@ -48,10 +48,12 @@ CLASSES = (
     EntropyClass("base64", "A-Za-z0-9+/_=-", 24, 4.0),
 )
 
-#: Candidates that match one of these as a whole are known not to be secrets.
+#: Candidates that match one of these as a whole are known not to be secrets, though a random UUID may well be one.
 ALLOW = (r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",)  # UUID
 
 #: Segments, between = / _ + and -, that match one of these are known; those at a candidate's ends don't count.
+#: What that costs: a key of letters alone is found from 16 letters in a row on, one of lower-case letters and
+#: digits from 12, one of digits alone never, and one of up to 20 characters not if a placeholder stands in it.
 KNOWN = (
     r"[A-Za-z]{0,15}",  # words
     r"[a-z0-9]{1,11}",  # parts of slugs
@@ -143,7 +145,14 @@ class Scanner:
 
     def scan(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         base = self.base(text)
-        more = [("entropy", a, b) for a, b in self.entropy(text) if not any(s <= a and b <= e for _, s, e in base)]
+        # Both come by start: a span lies in a base finding if one that begins no later reaches its end.
+        more, reach, at = [], -1, 0
+        for a, b in self.entropy(text):
+            while at < len(base) and base[at][1] <= a:
+                reach = max(reach, base[at][2])
+                at += 1
+            if b > reach:
+                more.append(("entropy", a, b))
         return base, sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
 
 

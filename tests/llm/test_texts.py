@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import regex
@@ -224,3 +225,88 @@ def test_op9_edited_notice(spark):
     df = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(words[:12]))], "doc_id long, text string")
     got = {r.doc_id: r.places for r in licenses.scan_licenses(df).collect()}
     assert [(p.label, p.start, p.end) for p in got[1]] == [("isc", 5, len(edited) - 1)] and got[2] == []
+
+
+def naive_places(text):
+    """Labelled spans of every template from its word triples' places in the text: no hashes, joins or arrays of structs."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+    at = {}
+    for i in range(len(words) - 2):
+        at.setdefault(tuple(words[i : i + 3]), []).append(i)
+    out = []
+    for t in (*licenses.BASE, *licenses.NOTICES):
+        n = len(t.words) - 2
+        diagonals = {}
+        for k in range(n):
+            for i in at.get(t.words[k : k + 3], ()):
+                diagonals.setdefault(i - k, set()).add(k)
+        runs = []
+        for d in sorted(diagonals):
+            if runs and t.coverage < 1 and d - runs[-1][-1] <= licenses.NEAR:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            found = set().union(*(diagonals[d] for d in run))
+            start, end = min(d + min(diagonals[d]) for d in run), max(d + max(diagonals[d]) for d in run) + 3
+            if len(found) / n >= t.coverage and end - start <= int(len(t.words) * 1.5):
+                out.append((start, end, t.label, t.base))
+    return sorted(out)
+
+
+def test_op9_method_against_plain_triples(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 30))]
+        for t in rng.sample((*licenses.BASE, *licenses.NOTICES), rng.randrange(0, 4)):
+            own = list(t.words)
+            for _ in range(rng.randrange(0, 5)):
+                k = rng.randrange(len(own))
+                own[k : k + 1] = rng.choice([[], ["odd"], [own[k], "put", "in"]])
+            words += own + [f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 9))]
+        texts.append(rng.choice([" ", "-", ".\n"]).join(words))
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: sorted((p.start, p.end, p.label, p.base) for p in r.places) for r in licenses.scan_licenses(df).collect()}
+    assert got == {n: naive_places(t) for n, t in enumerate(texts)} and sum(map(len, got.values())) > 50
+
+
+def naive_spans(text):
+    """Base findings and merged entropy windows that lie in none, each window's entropy from its own counts."""
+    def entropy(s):
+        return -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
+
+    hot = set()
+    for c in secrets.CLASSES:
+        for m in re.finditer(f"[{c.alphabet}]{{{min(c.window, secrets.SHORT_LEAST)},}}", text):
+            if any(re.fullmatch(a, m[0]) for a in secrets.ALLOW):
+                continue
+            parts = [x.span() for x in re.finditer("[^=/_+-]+", m[0]) if not any(re.fullmatch(k, x[0]) for k in secrets.KNOWN)]
+            if not parts or (n := parts[-1][1] - parts[0][0]) < secrets.SHORT_LEAST:
+                continue
+            window, first = min(n, c.window), m.start() + parts[0][0]
+            for i in range(first, first + n - window + 1):
+                if entropy(text[i : i + window]) >= c.bits * math.log2(window) / math.log2(c.window) - 1e-10:
+                    hot.add((i, i + window))
+    spans = []
+    for a, b in sorted(hot):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    base = naive_base(text)
+    return sorted([*base, *(("entropy", a, b) for a, b in spans if not any(s <= a and b <= e for _, s, e in base))], key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_op2_spans_of_the_query(spark, tiny):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tiny}/{DOCS}").collect()}
+    got = {r.doc_id: r.spans for r in queries.op2_secrets(spark, tiny).collect()}
+    assert got == {i: secrets.joined(naive_spans(t)) for i, t in docs.items()}
+    assert sum("entropy" in s for s in got.values()) > 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(PIECES, st.sampled_from(["kJ8s9Lq2XzP0vB7nM4tR6wY1", "_live_", "4eg9t2v7q1mz8w3xk6hp5rn0", "0F3a9C", "-"])), max_size=9))
+def test_op2_spans(parts):
+    text = "".join(parts)
+    assert secrets.Scanner().scan(text)[1] == naive_spans(text)

@@ -41,7 +41,7 @@ def main(args: list[str] | None = None) -> int:
             parts.codes = parts.codes.filter(F.col("page_no") == a.page)
             parts.ops = parts.ops.filter(F.col("page_no") == a.page)
         mapping = pages.effective_map(parts, legacy, glyphs, a.preset)
-        texts = sinks.document_text(pages.page_texts(parts, mapping, own).withColumn("error", F.lit(None).cast("string")))
+        texts = sinks.document_text(pages.page_texts(parts, mapping, own))
         missing = decode.missing_codes(parts.codes, mapping, [*pages.PAGE, "cid"])
         if a.text:
             sinks.write_text(texts, a.text)

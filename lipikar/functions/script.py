@@ -6,6 +6,7 @@ list as a whole. Tokens are never split.
 
 from __future__ import annotations
 
+import importlib.util
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping
@@ -112,20 +113,15 @@ def _composed(marks: list[str]) -> list[str]:
 
 
 def _marks_after(run: list[str], at: int) -> list[str]:
-    got: list[str] = []
-    signs: list[str] = []
-    for t in run[at:]:
-        if t != VIRAMA:
-            if t not in _MARKS:
+    """The marks from ``at`` on: one vowel sign among them, or two where the right half of a sign stands directly behind a left half."""
+    end, sign = at, False
+    while end < len(run) and run[end] in _MARKS:
+        if run[end] in _SIGNS:
+            if sign and not (run[end] == AA and run[end - 1] in (E_SIGN, AI_SIGN)):
                 break
-            half = t in _SIGNS or t == AU_LENGTH
-            if half:
-                if signs and not (len(signs) == 1 and signs[0] in (E_SIGN, AI_SIGN) and t in (AA, AU_LENGTH)):
-                    if t in _SIGNS or signs[0] not in (E_SIGN, AI_SIGN):
-                        break
-                signs.append(t)
-        got.append(t)
-    return got
+            sign = True
+        end += 1
+    return run[at:end]
 
 
 def compose_vowels(run: list[str]) -> list[str]:
@@ -172,11 +168,11 @@ def logical_text(text: str) -> str:
 # --- repairs
 
 _CLASS = f"[{CONSONANTS}]"
-#: (pattern, replacement) of the structural repairs, for engines with look-behind.
+# Pattern, replacement, and a text without which it matches nothing, of the structural repairs.
 REPAIRS = (
-    ("র্(?:র্)+", "র্"),
-    (f"(?<![\u0980-\u09ff])([{PREBASE}])({_CLASS})", r"\2\1"),
-    (f"({_CLASS})({_CLASS})র্([{VOWEL_SIGNS}])", r"\1র্\2\3"),
+    ("র্(?:র্)+", "র্", "র্র্"),
+    (f"(?<![\u0980-\u09ff])([{PREBASE}])({_CLASS})", r"\2\1", None),
+    (f"({_CLASS})({_CLASS})র্([{VOWEL_SIGNS}])", r"\1র্\2\3", "র্"),
 )
 
 
@@ -186,7 +182,7 @@ def corrections_in_order(own: Mapping[str, str] | None = None) -> dict[str, str]
 
 
 def cleanup(text: str, own: Mapping[str, str] | None = None, renormalize: bool = False) -> str:
-    for pattern, replacement in REPAIRS:
+    for pattern, replacement, _ in REPAIRS:
         text = re.sub(pattern, replacement, text)
     for wrong, right in corrections_in_order(own).items():
         text = text.replace(wrong, right)
@@ -194,9 +190,17 @@ def cleanup(text: str, own: Mapping[str, str] | None = None, renormalize: bool =
 
 
 def cleanup_column(text: Column, own: Mapping[str, str] | None = None) -> Column:
-    """``cleanup`` as built-in functions, inside code generation."""
-    for pattern, replacement in REPAIRS:
-        text = F.regexp_replace(text, pattern, re.sub(r"\\(\d)", r"$\1", replacement))
+    """``cleanup`` as built-in functions. A repair's pattern is looked for only in texts that have its fixed part."""
+
+    def repaired(pattern: str, replacement: str, part: str | None):
+        return lambda t: F.when(t.contains(part), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    for pattern, replacement, part in REPAIRS:
+        replacement = re.sub(r"\\(\d)", r"$\1", replacement)
+        if part is None:
+            text = F.regexp_replace(text, pattern, replacement)
+        else:  # the text is worked out once
+            text = F.get(F.transform(F.array(text), repaired(pattern, replacement, part)), F.lit(0))
     for wrong, right in corrections_in_order(own).items():
         text = F.replace(text, F.lit(wrong), F.lit(right))
     return text
@@ -212,6 +216,11 @@ def sequence_score(a: list[int], b: list[int]) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def can_shape() -> bool:
+    """Whether HarfBuzz is installed."""
+    return importlib.util.find_spec("uharfbuzz") is not None
+
+
 def shape(font: bytes | None, text: str) -> list[int] | None:
     """Glyph ids of ``text`` in ``font`` by HarfBuzz; None where that isn't installed or fails."""
     try:

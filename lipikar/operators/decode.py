@@ -18,6 +18,21 @@ def identity_codes(data: Column, strict: bool = False) -> Column:
     return F.when(data.isNotNull(), codes)
 
 
+def code_maps(mapping: DataFrame, by: list[str]) -> DataFrame:
+    """``by, code_map``: a mapping's entries, one for each code of ``by``, as one map. A map has as many entries as a font has codes at most."""
+    return mapping.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("cid", "text"))).alias("code_map"))
+
+
+def told(codes: Column, code_map: Column) -> Column:
+    """The text of each code of an array, in place: no row for each glyph. A code that the map lacks, or a null map, gives the marker."""
+    return F.transform(codes, lambda c: F.coalesce(F.try_element_at(code_map, c), F.format_string(MARKER, c)))
+
+
+def untold(codes: Column, code_map: Column) -> Column:
+    """The distinct codes of an array that the map lacks, in ascending order."""
+    return F.array_sort(F.array_distinct(F.array_except(codes, F.coalesce(F.map_keys(code_map), F.array().cast("array<int>")))))
+
+
 def decode(codes: DataFrame, mapping: DataFrame, on: list[str]) -> DataFrame:
     """``codes`` with ``text`` and ``known``: a left join, a code without a mapping shown by its marker."""
     found = codes.join(mapping.select(*on, F.col("text").alias("__text")), on, "left")

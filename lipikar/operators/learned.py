@@ -42,15 +42,19 @@ def code_points(text: Column) -> Column:
 
 
 def remember(glyphs: DataFrame, news: DataFrame) -> DataFrame:
-    """``glyphs`` with ``news(fkey, base_font, gid, text, glyph_fingerprint, confidence, source)`` put in: the last for each (fkey, gid) stands."""
+    """``glyphs`` with ``news(fkey, base_font, gid, text, glyph_fingerprint, confidence, source)`` put in: the last for each (fkey, gid) stands.
 
-    added = news.withColumn("unicode", code_points(F.col("text"))).withColumn("seq", F.lit(2**40) + F.monotonically_increasing_id())
+    The order of news is their own column ``seq``; without one all are of the same
+    time, and of two for one glyph the greater text stands, in every run.
+    """
+    order = F.col("seq") if "seq" in news.columns else F.lit(0)
+    added = news.withColumn("unicode", code_points(F.col("text"))).withColumn("seq", F.lit(2**40) + order.cast("long"))
     return latest(glyphs.unionByName(added.select(*glyphs.columns)))
 
 
 def latest(glyphs: DataFrame) -> DataFrame:
     rest = [c for c in glyphs.columns if c not in ("fkey", "gid")]
-    return glyphs.groupBy("fkey", "gid").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("fkey", "gid", "r.*").select(*glyphs.columns)
+    return glyphs.groupBy("fkey", "gid").agg(F.max_by(F.struct(*rest), F.struct("seq", "text") if "text" in rest else F.col("seq")).alias("r")).select("fkey", "gid", "r.*").select(*glyphs.columns)
 
 
 def confirmed_entries(legacy: DataFrame, glyphs: DataFrame) -> DataFrame:

@@ -113,7 +113,11 @@ def page_resources(all_pages: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def font_entries(resources: DataFrame) -> DataFrame:
-    """``pdf_id, page_no, font_ord, resource, font_object``: fonts in order, each object once; without a ``/Font`` dictionary every named reference counts."""
+    """``pdf_id, page_no, font_ord, resource, font_object``: fonts in order, each object once; without a ``/Font`` dictionary every named reference counts.
+
+    A dictionary counts up to 10,000 characters, as in the program whose results
+    are matched; where a longer one's end isn't found, every named reference counts.
+    """
     block = F.regexp_extract("resources", r"(?s)/Font\s*<<(.{0,10000}?)>>", 1)
     named = F.when(block != "", block).otherwise(F.col("resources"))
     pairs = F.zip_with(

@@ -41,8 +41,11 @@ def unresolved_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decode_with_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = glyphs(table(spark, sf_dir, "benchmark"), "item_id").select("cid", F.col("ch").alias("text")).distinct()
-    told = decode.decode(glyphs(table(spark, sf_dir, "documents"), "doc_id"), mapping, ["cid"])
-    return decode.joined(told, ["doc_id"], ["pos"])
+    # One row, of as many entries as there are characters in use.
+    whole = decode.code_maps(mapping, [])
+    codes = F.transform(characters(F.col("text")), lambda c: F.ascii(c))
+    rows = table(spark, sf_dir, "documents").filter("text <> ''").join(F.broadcast(whole))
+    return rows.select("doc_id", F.array_join(decode.told(codes, F.col("code_map")), "").alias("text"))
 
 
 def mapping_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +142,10 @@ def pen_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("host"))
-    return pages.select("page_id", "host", F.row_number().over(Window.partitionBy("host").orderBy("page_id")).alias("page_no"))
+    """Objects of a file are a host's pages, every seventh of which isn't of the type that counts."""
+    kind = F.when(F.col("page_id") % 7 == 0, F.lit("<< /Type /Pages >>")).otherwise(F.lit("<< /Type /Page >>"))
+    objects = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1).alias("pdf_id"), F.col("page_id").alias("obj_num"), kind.cast("binary").alias("body"))
+    return resolve.pages(objects).select(F.col("obj_num").alias("page_id"), F.col("pdf_id").alias("host"), "page_no")
 
 
 def review_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +165,22 @@ def reference_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def font_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects made from tables: a customer's font leads to its nation's descendant, to the region's descriptor, to a file; each fifth by an array of its own."""
+    body = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary")
+    row = lambda t, n, b: t.select(F.lit("f").alias("pdf_id"), n.cast("long").alias("obj_num"), b.alias("body"))
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    customer, nations, regions = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    down = F.when(key % 5 == 0, F.concat((nation + 2_000).cast("string"), F.lit(" 0 R"))).otherwise(F.concat(F.lit("["), (nation + 1_000).cast("string"), F.lit(" 0 R]")))
+    objects = row(customer, key + 10_000, body("<< /Type /Font /BaseFont /F", key, " /Encoding /Identity-H /DescendantFonts ", down, " >>"))
+    objects = objects.union(row(nations, F.col("n_nationkey") + 1_000, body("<< /FontDescriptor ", F.col("n_regionkey") + 500, " 0 R >>")))
+    objects = objects.union(row(nations, F.col("n_nationkey") + 2_000, body("[", F.col("n_nationkey") + 1_000, " 0 R]")))
+    objects = objects.union(row(regions, F.col("r_regionkey") + 500, body("<< /FontName /N /FontFile2 ", F.col("r_regionkey") + 100, " 0 R >>")))
+    entries = customer.select(F.lit("f").alias("pdf_id"), F.lit(1).alias("page_no"), F.lit(0).alias("font_ord"), F.lit("R").alias("resource"), (key + 10_000).cast("long").alias("font_object"))
+    found = resolve.font_info(entries, objects, resolve.resolved(objects))
+    return found.select((F.col("font_object") - 10_000).cast("long").alias("custkey"), "base_font", "encoding", "font_file2")
+
+
+def join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four left joins, each on the key that the one before found: line to order to customer to nation to region."""
     line, order, customer = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -191,25 +212,53 @@ def cleanup_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", script.cleanup_column(to_bengali(F.col("text"))).alias("text"))
 
 
+#: Corrections of a file of one's own, which follow the defaults and see what those before them made.
+OWN_CORRECTIONS = {"the": "teh", "teh ": "the  ", "and": "&", "&s": "ands"}
+
+
 def corrections_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    for wrong, right in (("the", "teh"), ("teh ", "the  "), ("and", "&"), ("&s", "ands")):
-        text = F.replace(text, F.lit(wrong), F.lit(right))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    """Texts with a file of corrections: no Bengali in them, so the structural repairs leave them alone."""
+    return table(spark, sf_dir, "documents").select("doc_id", script.cleanup_column(F.col("text"), OWN_CORRECTIONS).alias("text"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter("w <> ''").distinct()
 
 
-def reorder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words as runs of two tokens, a pre-base sign and a consonant: logical order is the other way round."""
+def reorder_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole words as runs of pre-base signs and consonants: each run of signs goes behind the consonant that it is drawn before."""
     from .pages import logical
 
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter("w <> ''").distinct()
-    runs = F.transform(characters(F.col("w")), lambda c: F.when(F.ascii(c) % 2 == 0, F.lit("ি")).otherwise(F.lit("ক")))
-    pairs = words.select("w", F.element_at(runs, 1).alias("a"), F.when(F.size(runs) > 1, F.element_at(runs, 2)).otherwise(F.lit("ক")).alias("b"))
-    return pairs.select("w", F.array_join(logical(F.array("a", "b")), "").alias("text"))
+    run = F.transform(characters(F.col("w")), lambda c: F.when(F.ascii(c) % 2 == 0, F.lit("ি")).otherwise(F.lit("ক")))
+    return _words(spark, sf_dir).select("w", F.array_join(logical(run), "").alias("text"))
+
+
+def vowel_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as runs of consonants, both halves of a vowel sign and a mark, in logical order: halves become one sign where nothing parts them."""
+    from .pages import composed
+
+    kind = lambda c: F.ascii(c) % 4
+    run = F.transform(characters(F.col("w")), lambda c: F.when(kind(c) == 0, F.lit("ক")).when(kind(c) == 1, F.lit("ে")).when(kind(c) == 2, F.lit("া")).otherwise(F.lit("ঁ")))
+    return _words(spark, sf_dir).select("w", F.array_join(composed(F.concat(F.array(F.lit("ক")), run)), "").alias("text"))
+
+
+def reph_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as runs of consonants and rephs: a reph goes before the consonant to its left."""
+    from .pages import logical
+
+    run = F.transform(characters(F.col("w")), lambda c: F.when(F.ascii(c) % 3 == 0, F.lit("র্")).otherwise(F.lit("ক")))
+    return _words(spark, sf_dir).select("w", F.array_join(logical(run), "").alias("text"))
 
 
 def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
+    """Every line of every document as a show in a content stream, read back by the tokenizer."""
+    from . import pages
+
+    line = lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-8")), F.lit("> Tj"))
+    body = F.array_join(F.transform(F.split("text", "\\n"), line), "\n")
+    streams = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.encode(body, "UTF-8").alias("decoded"))
+    shows = pages.text_ops(streams, ["doc_id"])
+    return shows.select("doc_id", F.col("op_index").alias("line_no"), F.decode(F.col("operands")[0]["bytes"], "UTF-8").alias("line"))
 
 
 def lines_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,10 +287,126 @@ def identity_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", "pos", "cid")
 
 
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A character map with one range for each part: its key begins the range, its size is the length."""
+    low, n = F.col("p_partkey") % 60_000, F.col("p_size")
+    hex4 = lambda c: F.lpad(F.hex(c.cast("long")), 4, "0")
+    line = F.concat(F.lit("<"), hex4(low), F.lit("> <"), hex4(low + n), F.lit("> <0985>"))
+    data = F.concat(F.lit("1 begincodespacerange\n<0000> <FFFF>\nendcodespacerange\n1 beginbfrange\n"), line, F.lit("\nendbfrange\n"))
+    return table(spark, sf_dir, "part").select("p_partkey", data.cast("binary").alias("data"))
+
+
 def cmap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of codes to rows: a part's key begins its range, its size is the length."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("n"))
-    return parts.select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))).alias("step")).select("p_partkey", (F.col("p_partkey") + F.col("step")).alias("code"), (F.lit(0x985) + F.col("step")).alias("unit"))
+    """Ranges of a character map to rows, by the tolerant reader."""
+    from ..functions import cmap
+    from ..sources import pdf
+
+    make = lambda data: [(c, ord(t)) for c, t in cmap.parse_tounicode(data).items()]
+    return pdf.expand(_ranges(spark, sf_dir), "data", ["p_partkey"], pdf.ddl("code long, unit int"), make)
+
+
+def cmap_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the strict reader, with the number of codespaces."""
+    from ..functions import cmap
+    from ..sources import pdf
+
+    def make(data: bytes) -> list[tuple]:
+        spaces, codes = cmap.parse_cmap(data)
+        return [(c, units[0], len(spaces)) for c, units in codes.items()]
+
+    return pdf.expand(_ranges(spark, sf_dir), "data", ["p_partkey"], pdf.ddl("code long, unit int, codespaces int"), make)
+
+
+# --- files and fonts made from tables, and read again
+
+
+def strict_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as the streams of files read by their cross-reference tables: the strict reader's objects, values, lengths and filters."""
+    from ..sources import pdf, writer
+
+    def make(text: bytes) -> list[tuple]:
+        return [(writer.file_of({1: b"<< /Type /Catalog >>", 4: writer.stream(text, "/N (a\\)b) /A [1 -2.5 /x] "), 7: writer.stream(text, deflate=False)}),)]
+
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("t"))
+    files = pdf.expand(rows, "t", ["item_id"], pdf.ddl("content binary"), make).select(F.col("item_id").cast("string").alias("pdf_id"), "content")
+    return pdf.resolved_objects(files).select(
+        F.col("pdf_id").cast("long").alias("item_id"),
+        "obj_num",
+        "kind",
+        F.decode("stream", "UTF-8").alias("text"),
+        F.octet_length("stream").cast("long").alias("bytes"),
+    )
+
+
+def xref_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation with an object for each of its suppliers: the cross-reference entries in use and free."""
+    from ..sources import pdf, writer
+
+    make = lambda keys: [(writer.file_of({int(k): b"<< /K " + k + b" >>" for k in keys.split(b",")}),)]
+    keys = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(F.col("s_suppkey").cast("string")), ",").cast("binary").alias("keys"))
+    files = pdf.expand(keys.filter("octet_length(keys) > 0"), "keys", ["s_nationkey"], pdf.ddl("content binary"), make).select(F.col("s_nationkey").cast("string").alias("pdf_id"), "content")
+    return pdf.xref_table(files).select(F.col("pdf_id").cast("long").alias("nation"), "obj_num", "in_use")
+
+
+def syntax_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations' names and keys as syntax, token by token."""
+    from ..sources import pdf
+
+    text = F.concat(F.lit("<< /Key "), F.col("n_nationkey").cast("string"), F.lit(" /Name ("), F.col("n_name"), F.lit(") >> % "), F.col("n_name"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", text.cast("binary").alias("data"))
+    found = pdf.pdf_tokens(rows, "data", ["n_nationkey"]).filter("type in ('literal', 'number', 'name')")
+    return found.select(F.col("n_nationkey").cast("long").alias("nation"), "type", "value")
+
+
+def syntax_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as dictionaries with strings, numbers, names and arrays, parsed to JSON."""
+    from ..sources import pdf
+
+    text = F.concat(F.lit("<< /K "), F.col("c_custkey").cast("string"), F.lit(" /N ("), F.col("c_name"), F.lit(") /L [1 ["), F.col("c_nationkey").cast("string"), F.lit("] /S]>>"))
+    value = F.parse_json(pdf.value_json(text.cast("binary")))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.try_variant_get(value, "$.v.K.v", "long").alias("key"), F.try_variant_get(value, "$.v.L.v[1].v[0].v", "long").alias("nation"))
+
+
+def font_glyph_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A font for each language with a glyph for each character in use: which glyph stands for which text, by the font's own map."""
+    from ..functions import truetype
+    from ..sources import pdf, writer
+
+    def make(text: bytes) -> list[tuple]:
+        chars = sorted({c for c in text.decode() if ord(c) < 0xFFFF})
+        shapes = [[], *([[(0, 0), (10 * n, 0), (10, 7 * n)]] for n in range(1, len(chars) + 1))]
+        font = truetype.Font(writer.build_font({ord(c): n for n, c in enumerate(chars, 1)}, shapes))
+        prints = truetype.fingerprints(font)
+        return [(g, t, len({prints[g], *prints.values()}) == len(shapes)) for g, t in truetype.glyph_texts(font).items()]
+
+    used = glyphs(table(spark, sf_dir, "documents"), "lang").groupBy("lang").agg(F.array_join(F.collect_set("ch"), "").cast("binary").alias("t"))
+    return pdf.expand(used, "t", ["lang"], pdf.ddl("gid int, text string, distinct_outlines boolean"), make)
+
+
+def mapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping file made from nations, its sections found by fonts whose names have a slash, a subset prefix or both."""
+    from ..sources import mappings
+
+    plain, nested = F.concat(F.lit('"'), F.col("n_name"), F.lit('"')), F.to_json(F.struct(F.col("n_name").alias("text")))
+    cell = F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('":'), F.when(F.col("n_nationkey") % 2 == 0, nested).otherwise(plain))
+    sections = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list(cell)), ",").alias("cells"))
+    whole = sections.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('"Sec'), F.col("n_regionkey").cast("string"), F.lit('":{'), F.col("cells"), F.lit("}")))), ","), F.lit("}")).alias("value"))
+    legacy = mappings.legacy_mapping(whole)
+    name = F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lit("/")).otherwise(F.lit("")), F.when(F.col("n_nationkey") % 3 == 0, F.lit("ABCDEF+")).otherwise(F.lit("")), F.lit("Sec"), F.col("n_regionkey").cast("string"))
+    fonts = table(spark, sf_dir, "nation").select(name.alias("base_font"))
+    return mappings.section_for_font(legacy, fonts).select("base_font", F.col("cid").cast("long").alias("cid"), "text")
+
+
+def learned_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' glyphs written as one learned database and read again: confirmed ones only."""
+    from ..sources import mappings
+
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("font"), (F.col("s_nationkey") % 4).cast("string")).alias("fkey"), F.lit("B").alias("base_font"), F.col("s_suppkey").cast("int").alias("gid"), F.col("s_name").alias("text"),
+        learned.code_points(F.col("s_name")).alias("unicode"), F.lit("glyph:x").alias("glyph_fingerprint"), F.when(F.col("s_suppkey") % 3 == 0, 0.5).otherwise(1.0).alias("confidence"), F.lit("user_confirmed").alias("source"), F.col("s_suppkey").cast("long").alias("seq"),
+    )
+    again = mappings.learned_glyphs(mappings.learned_file(rows))
+    return learned.confirmed(again).select("fkey", F.col("gid").cast("long").alias("gid"), "text")
 
 
 def code_point_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,8 +441,9 @@ def _units(line: str) -> list[bytes]:
 
 ALL = (
     glyph_frequency, unresolved_glyphs, decode_with_markers, mapping_precedence, report_map, flat_mapping, unambiguous_dimension, learned_upsert,
-    fingerprint_fill, provenance_split, top_mappings, entry_statistics, context_window, unresolved_context, first_occurrence, run_segmentation,
-    pen_positions, page_rank, review_targets, reference_chain, font_chain, candidate_cross, cleanup_rules, corrections_fold, reorder_pairs,
+    fingerprint_fill, provenance_split, top_mappings, entry_statistics, context_window, unresolved_context, first_occurrence, run_segmentation, cmap_strict, strict_objects, xref_entries, syntax_tokens, syntax_values,
+    font_glyph_texts, mapping_files, learned_database, reorder_runs, vowel_halves, reph_moves, join_chain,
+    pen_positions, page_rank, review_targets, reference_chain, font_chain, candidate_cross, cleanup_rules, corrections_fold,
     lines_split, lines_joined, page_delimited_text, font_key, hex_dump, identity_codes, cmap_expand, code_point_names, html_escaped, pdf_roundtrip_text,
 )
 

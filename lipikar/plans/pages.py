@@ -22,10 +22,11 @@ _SHOWS = "op_index int, operator string, operands array<struct<kind: string, byt
 
 
 def text_ops(streams: DataFrame, keep: list[str], fallback: bool = False) -> DataFrame:
-    """Show operations of ``decoded`` streams; a stream with an error gives a row that says so. ``fallback`` scans streams that yield nothing byte by byte."""
+    """Show operations of ``decoded`` streams; a stream with a fault anywhere gives none, but a row that says so. ``fallback`` scans streams that yield nothing byte by byte."""
 
     def make(data: bytes) -> list[tuple]:
         shows, error = text_shows(data)
+        shows = [] if error else shows
         found = [(op, [dict(zip(("kind", "bytes", "num"), x)) for x in operands]) for op, operands in shows]
         if not found and fallback:
             found = [(op, [dict(zip(("kind", "bytes", "num"), x)) for x in operands]) for _, op, operands in fallback_shows(data)]
@@ -45,6 +46,7 @@ class Parts:
     ops: DataFrame
     codes: DataFrame
     ttf: DataFrame
+    strict: bool = False
 
 
 def read_parts(files: DataFrame, fallback: bool = False, strict: bool = False) -> Parts:
@@ -65,7 +67,7 @@ def read_parts(files: DataFrame, fallback: bool = False, strict: bool = False) -
     files2 = fonts.filter("font_file2 is not null").select("pdf_id", "font_file2", "base_font").distinct()
     ttf = pdf.pdf_streams(files2.join(objects.select("pdf_id", F.col("obj_num").alias("font_file2"), "body"), ["pdf_id", "font_file2"]), ["pdf_id", "font_file2", "base_font"])
     ttf = ttf.filter("decoded is not null").select("pdf_id", "font_file2", "base_font", F.col("decoded").alias("ttf"), learned.font_key(F.coalesce("base_font", F.lit("")), F.col("decoded")).alias("fkey")).persist()
-    return Parts(objects, pages, fonts, ops, codes, ttf)
+    return Parts(objects, pages, fonts, ops, codes, ttf, strict)
 
 
 def glyph_tables(ttf: DataFrame) -> DataFrame:
@@ -143,26 +145,52 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@pandas_udf(T.ArrayType(T.StringType()))
+def composed(tokens: pd.Series) -> pd.Series:
+    """Tokens that are in logical order already, with the halves of vowel signs put together."""
+    return tokens.map(lambda t: None if t is None else script.logical_tokens(t, visual=False))
+
+
+@pandas_udf(T.StringType())
+def chosen(tokens: pd.Series, cids: pd.Series, lost: pd.Series, font: pd.Series) -> pd.Series:
+    """The text of a show: in logical order, unless shaping with the page's font says that the drawn order fits as well. Codes without a text leave no choice."""
+
+    def one(t, c, missing, f):
+        if t is None:
+            return None
+        reordered = "".join(script.logical_tokens(t, visual=True))
+        return reordered if missing or f is None else script.choose(bytes(f), list(c), "".join(t), reordered)[0]
+
+    return pd.Series([one(*x) for x in zip(tokens, cids, lost.map(lambda x: x is not None and len(x) > 0), font)], index=tokens.index, dtype=object)
+
+
 def op_texts(parts: Parts, mapping: DataFrame) -> DataFrame:
-    """``pdf_id, page_no, op_seq, tokens, cids, missing`` of each show."""
-    told = decode.decode(parts.codes, mapping, [*PAGE, "cid"])
-    cells = F.array_sort(F.collect_list(F.struct("operand", "pos", "cid", "text", "known")))
-    ops = told.groupBy(*PAGE, "op_seq").agg(cells.alias("c"))
-    pick = lambda f: F.transform("c", lambda x: x[f])
-    lost = F.array_sort(F.array_distinct(F.transform(F.filter("c", lambda x: ~x["known"]), lambda x: x["cid"])))
-    found = ops.select(*PAGE, "op_seq", pick("text").alias("tokens"), pick("cid").alias("cids"), lost.alias("missing"))
-    shows = parts.ops.filter("operator is not null").select(*PAGE, "op_seq", "operator", "content_object", "op_index")
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    return shows.join(found, [*PAGE, "op_seq"], "left").withColumns({"tokens": F.coalesce("tokens", empty("string")), "cids": F.coalesce("cids", empty("int")), "missing": F.coalesce("missing", empty("int"))})
-
-
-def page_texts(parts: Parts, mapping: DataFrame, corrections: dict[str, str] | None = None, raw: bool = False, renormalize: bool = False) -> DataFrame:
-    """``pdf_id, page_no, text, error``: one line for each show, in logical order, normalised and repaired (``raw``: as decoded)."""
+    """``pdf_id, page_no, op_seq, tokens, cids, missing`` of each show: a page's codes as one map, met by the page's shows, a row each."""
+    strings = F.filter("operands", lambda o: o["kind"] == "string")
+    cids = F.flatten(F.transform(strings, lambda o: decode.identity_codes(o["bytes"], parts.strict)))
+    shows = parts.ops.filter("operator is not null").select(*PAGE, "op_seq", "operator", "content_object", "op_index", cids.alias("cids"))
+    found = shows.join(decode.code_maps(mapping, PAGE), PAGE, "left")
+    return found.select(*shows.columns, decode.told(F.col("cids"), F.col("code_map")).alias("tokens"), decode.untold(F.col("cids"), F.col("code_map")).alias("missing"))
+
+
+def page_texts(parts: Parts, mapping: DataFrame, corrections: dict[str, str] | None = None, raw: bool = False, renormalize: bool = False, shaping: bool = True) -> DataFrame:
+    """``pdf_id, page_no, text, error``: one line for each show, in logical order, normalised and repaired (``raw``: as decoded).
+
+    With ``shaping``, the page's first embedded font decides between the drawn and
+    the logical order where HarfBuzz is there to ask. ``error`` tells why nothing
+    could be read of a page; a page with other shows hasn't failed.
+    """
     ops = op_texts(parts, mapping)
-    tokens = F.col("tokens") if raw else logical("tokens")
-    lines = ops.select(*PAGE, "op_seq", F.array_join(tokens, "").alias("text"))
+    if raw:
+        lines = ops.select(*PAGE, "op_seq", F.array_join("tokens", "").alias("text"))
+    elif shaping and script.can_shape():
+        fonts = parts.fonts.filter("font_file2 is not null").groupBy(*PAGE).agg(F.min_by("font_file2", "font_ord").alias("font_file2"))
+        fonts = fonts.join(parts.ttf.groupBy("pdf_id", "font_file2").agg(F.first("ttf").alias("ttf")), ["pdf_id", "font_file2"]).select(*PAGE, "ttf")
+        lines = ops.join(fonts, PAGE, "left").select(*PAGE, "op_seq", chosen("tokens", "cids", "missing", "ttf").alias("text"))
+    else:
+        lines = ops.select(*PAGE, "op_seq", F.array_join(logical("tokens"), "").alias("text"))
     joined = decode.joined(lines, PAGE, ["op_seq"], sep="\n")
-    errors = parts.ops.filter("error is not null").groupBy(*PAGE).agg(F.min("error").alias("error"))
+    errors = parts.ops.groupBy(*PAGE).agg(F.min("error").alias("error"), F.count("operator").alias("n")).filter("n = 0").drop("n")
     text = F.coalesce("text", F.lit(""))
     if not raw:
         text = script.cleanup_column(nfc(text), corrections)
@@ -173,9 +201,7 @@ def page_texts(parts: Parts, mapping: DataFrame, corrections: dict[str, str] | N
 def document_texts(files: DataFrame, legacy: DataFrame | None = None, glyphs: DataFrame | None = None, preset: str = "documented", corrections: dict[str, str] | None = None) -> DataFrame:
     """``pdf_id, text, n_pages``: all pages of each file between markers."""
     parts = read_parts(files)
-    # a stream's fault leaves the shows before it; the page has not failed
-    texts = page_texts(parts, effective_map(parts, legacy, glyphs, preset), corrections).withColumn("error", F.lit(None).cast("string"))
-    return sinks.document_text(texts)
+    return sinks.document_text(page_texts(parts, effective_map(parts, legacy, glyphs, preset), corrections))
 
 
 def page_reports(parts: Parts, mapping: DataFrame) -> DataFrame:
@@ -238,8 +264,10 @@ def diagnose(files: DataFrame) -> DataFrame:
 
 
 def generate_font(ttf: bytes, entries: DataFrame, family: str = "Recovered Bangla Unicode") -> tuple[bytes, dict[str, int]]:
-    """A font file for the confirmed entries, which are as many as a font has glyphs at most."""
-    rows = entries.select("gid", "text").limit(65_536).collect()
+    """A font file for the confirmed entries, which are as many as a font has glyphs at most; more than a font can have raises."""
+    if (n := entries.count()) > 65_536:
+        raise ValueError(f"{n} entries: a font has 65,536 glyphs at most")
+    rows = entries.select("gid", "text").collect()
     return truetype.unicode_font(ttf, {r["gid"]: r["text"] for r in rows}, family)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +76,35 @@ def learned_json(glyphs: DataFrame) -> DataFrame:
     return cells.select("fkey", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.create_map("fkey", F.struct("base_font", "glyphs")).alias("fonts")), {"pretty": "true"}).alias("value"))
 
 
+def learned_file(glyphs: DataFrame) -> DataFrame:
+    """The whole learned database as one JSON text, the file's one row: it has as many entries as people have confirmed."""
+    row = F.struct("gid", "text", "unicode", "glyph_fingerprint", "confidence", "source")
+    cells = glyphs.groupBy("fkey").agg(F.first("base_font").alias("base_font"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("gid").cast("string").alias("k"), row.alias("v"))))).alias("glyphs"))
+    by_key = lambda a, b: F.when(a["fkey"] < b["fkey"], -1).otherwise(1)
+    fonts = cells.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fkey", F.struct("base_font", "glyphs").alias("v"))), by_key)).alias("fonts"))
+    return fonts.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "fonts"), {"pretty": "true"}).alias("value"))
+
+
 def corrections(spark: SparkSession, own: dict[str, str] | None = None) -> DataFrame:
     """``ord, wrong, right``: defaults first, overridden in place."""
     return spark.createDataFrame([(n, w, r) for n, (w, r) in enumerate(corrections_in_order(own).items())], "ord int, wrong string, right string")
 
 
 def read_corrections(texts: DataFrame) -> dict[str, str]:
-    """A small file's members; JSON that can't be read corrects nothing beyond the defaults."""
-    rows = texts.select(F.from_json("value", "map<string,string>").alias("m")).limit(1).collect()
-    return dict(rows[0]["m"] or {}) if rows else {}
+    """The members of small files, of one that repeats the last by file name; JSON that can't be read corrects nothing beyond the defaults."""
+    named = texts.select(F.col("_metadata.file_name").alias("name") if _from_files(texts) else F.lit("").alias("name"), F.from_json("value", "map<string,string>").alias("m"))
+    out: dict[str, str] = {}
+    for r in sorted(named.collect(), key=lambda r: r["name"]):
+        out |= dict(r["m"] or {})
+    return out
+
+
+def _from_files(rows: DataFrame) -> bool:
+    try:
+        rows.select("_metadata.file_name")
+    except AnalysisException:
+        return False
+    return True
 
 
 def conjuncts(texts: DataFrame) -> DataFrame:

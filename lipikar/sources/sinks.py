@@ -10,9 +10,11 @@ PAGE_HEAD, PAGE_END = "<<<page:%d>>>", "<<<END>>>"
 
 
 def marked_page(page_no: Column, text: Column, error: Column | None = None) -> Column:
-    """A page between its markers; a failed page becomes a line that says so."""
-    whole = F.concat_ws("\n", F.format_string(PAGE_HEAD, page_no), F.coalesce(text, F.lit("")), F.lit(PAGE_END))
-    return whole if error is None else F.when(error.isNotNull(), F.format_string("[PAGE %d FAILED: %s]", page_no, error)).otherwise(whole)
+    """A page between its markers; of a failed page a line that says so."""
+    said = F.coalesce(text, F.lit(""))
+    if error is not None:
+        said = F.when(error.isNotNull(), F.format_string("[PAGE %d FAILED: %s]", page_no, error)).otherwise(said)
+    return F.concat_ws("\n", F.format_string(PAGE_HEAD, page_no), said, F.lit(PAGE_END))
 
 
 def document_text(pages: DataFrame, by: str = "pdf_id") -> DataFrame:

@@ -167,7 +167,7 @@ def test_hex_dump(spark):
 
 def test_failed_page_text(spark):
     rows = spark.createDataFrame([("a", 1, "x", None), ("a", 2, None, "boom")], "pdf_id string, page_no int, text string, error string")
-    assert sinks.document_text(rows).first().text == "<<<page:1>>>\nx\n<<<END>>>\n[PAGE 2 FAILED: boom]"
+    assert sinks.document_text(rows).first().text == "<<<page:1>>>\nx\n<<<END>>>\n<<<page:2>>>\n[PAGE 2 FAILED: boom]\n<<<END>>>"
 
 
 def test_streaming_equals_batch(spark, tmp_path):

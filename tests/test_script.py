@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lipikar.functions import script
 
+# Tokens and the texts they must give.
 YYA = "য়"
 BOTH = [(f"ও {YYA} া ড র্", f"ও{YYA}ার্ড"), ("ি স ি ট", "সিটি"), ("ক ে প র্ া ে র শ ন", "কর্পোরেশন"), (f"ে ক া ত {YYA} া ল ী", f"কোত{YYA}ালী"), ("দুর্", "দুর্")]
 VISUAL = [("অ ি ম ত া", "অমিতা"), ("গৃ ি হ ন ী", "গৃহিনী"), ("ত া ি র খ", "তারিখ"), ("দ ি ক্ষ ণ", "দক্ষিণ")]
@@ -25,8 +26,24 @@ def test_runs_end_at_separators():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(list("কখগরসনিেৈাুৗ্অ .xড") + ["ক্ষ", "র্"]), max_size=14), st.booleans())
 def test_no_letter_is_lost(tokens, visual):
-    flat = sorted("".join(script.logical_tokens(tokens, visual)).replace("ো", "ো").replace("ৌ", "ৌ"))
-    assert flat == sorted("".join(tokens).replace("ো", "ো").replace("ৌ", "ৌ"))
+    halves = lambda s: s.replace("\u09cb", "\u09c7\u09be").replace("\u09cc", "\u09c7\u09d7")
+    assert sorted(halves("".join(script.logical_tokens(tokens, visual)))) == sorted(halves("".join(tokens)))
+
+
+@pytest.mark.parametrize(
+    "tokens,expected",
+    [
+        ("\u0995 \u09c7 \u0981 \u09be", "\u0995\u09c7\u0981\u09be"),  # a mark between the halves keeps them apart
+        ("\u0995 \u09c7 \u09be \u0981", "\u0995\u09cb\u0981"),
+        ("\u0995 \u09c7 \u09be \u09be", "\u0995\u09cb\u09be"),
+        ("\u0995 \u09be \u09c7 \u09be", "\u0995\u09be\u09c7\u09be"),
+        ("\u0995 \u0981 \u09c7 \u09be", "\u0995\u09cb\u0981"),
+        ("\u0995 \u09c7 \u09d7", "\u0995\u09cc"),
+        ("\u0995 \u09cd \u09c7 \u09be", "\u0995\u09cd\u09cb"),
+    ],
+)
+def test_halves_of_vowel_signs(tokens, expected):
+    assert "".join(script.logical_tokens(tokens.split())) == expected
 
 
 def test_cleanup(spark):

@@ -6,11 +6,10 @@ the probability of their weighted Jaccard similarity; samples in bands give
 candidate groups; candidates are verified on their whole weighted sets.
 
 No group is expanded into pairs. In each candidate group every member is held
-against the group's leader, which joins most of what belongs together; further
-rounds may choose new leaders among the classes of a group. What is still apart in
-a group is then settled exactly: texts that can reach the threshold share one of
-their rarest shingles, and a pair that does is verified unless a bound on its
-overlap excludes it.
+against the group's leader, which joins most of what belongs together. What is
+still apart in a group is then settled exactly, block by block: of all pairs in two
+chunks of a group, those that reach the threshold are found where the blocks lie,
+and only as many links leave as it takes to join them.
 """
 
 from __future__ import annotations
@@ -30,8 +29,6 @@ from .frequencies import UNIT, Idf, summed
 from .words import ID_BITS, Shingler, chunks, mixed, pack_counts, pack_ids, unpack_counts, unpack_ids
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-#: Relative error that sums of weights in different orders may have.
-SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -46,10 +43,10 @@ class NearDupParams:
     rare_bits: int = 15
     #: Texts that share one of four smallest shingles with more than one in so many texts count as one document of a group.
     group_share: int = 4096
-    #: Rounds of leaders before the exact way; they save work and decide nothing.
-    rounds: int = 1
     #: Pairs of one leader that are verified together.
     leader_chunk: int = 256
+    #: Texts of a chunk of a group whose pairs are all looked at.
+    block: int = 384
     seed: int = 20
 
 
@@ -249,64 +246,74 @@ def opened(ids: bytes, counts: bytes, idf: Idf) -> tuple[np.ndarray, np.ndarray]
     return found, unpack_counts(counts, len(found)) * idf(found)
 
 
-def prefix(ids: np.ndarray, weights: np.ndarray, rarity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, weight from each on, weight after each) of a set's rarest members, one of which every set of that similarity shares.
+def spanning_links(ids: list[np.ndarray], weights: list[np.ndarray], classes: np.ndarray, similarity: float) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of links between different classes that join whatever such links join: a spanning forest of all pairs.
 
-    In one order for all sets, the first member two sets share leaves no overlap
-    before it, so at least ``similarity`` of either set's weight stands from it on.
+    Overlaps of all pairs are added up shingle by shingle over a table of one
+    number for each pair, so the sets are bounded by the block that they come in.
     """
-    order = np.lexsort((ids, -rarity))
-    w = weights[order]
-    left = np.cumsum(w[::-1])[::-1]
-    n = int(np.count_nonzero(left >= similarity * left[0] * (1 - SLACK)))
-    return ids[order[:n]], left[:n], left[:n] - w[:n]
+    n = len(ids)
+    owner = np.repeat(np.arange(n), [len(x) for x in ids])
+    shingle, weight = np.concatenate(ids), np.concatenate(weights)
+    order = np.argsort(shingle, kind="stable")
+    shingle, weight, owner = shingle[order], weight[order], owner[order]
+    total = np.array([w.sum() for w in weights])
+    cuts = np.flatnonzero(np.diff(shingle, prepend=shingle[:1] + np.uint64(1)))
+    sizes = np.diff(np.append(cuts, len(shingle)))
+    overlap = np.zeros((n, n))
+    for at, m in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        who, w = owner[at : at + m], weight[at : at + m]
+        overlap[np.ix_(who, who)] += np.minimum(w[:, None], w[None, :])
+    union = total[:, None] + total[None, :] - overlap
+    alike = overlap / np.maximum(union, 1e-300)
+    near = (alike >= similarity) & (classes[:, None] != classes[None, :])
+    out, seen = [], np.zeros(n, bool)
+    for first in range(n):
+        if seen[first] or not near[first].any():
+            continue
+        seen[first] = True
+        todo = [first]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            out += [(i, int(j), float(alike[i, j])) for j in new]
+            todo += new.tolist()
+    return out
 
 
-def open_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, idf_bytes, params: NearDupParams) -> DataFrame:
-    """``a, b, chunk`` (a < b): all pairs of different classes that share a group of several classes and that no bound excludes.
+def open_links(members: DataFrame, classes: DataFrame, sets: DataFrame, idf_bytes, params: NearDupParams) -> DataFrame:
+    """``a, b, similarity``: links that join whatever pairs of similar texts in one group join, among groups that still hold several classes.
 
-    A group of two has been verified by its leader. With s the similarity and a, b
-    the sets' weights, a pair needs an overlap of s / (1 + s) * (a + b). At a shared
-    member it is at most what stands before plus the smaller rest from there on.
-    The lighter set of a pair shares one of fewer, still rarer members. Frequent
-    shingles come last, so what a whole group shares makes no candidates by itself.
+    A group of two has been verified by its leader. Every pair of a group meets in
+    one block of two of its chunks, which have ``block`` texts each on average; what
+    leaves a block are fewer links than it has texts.
     """
     at = stored(members.join(classes, "node", "left").select("band", F.coalesce("component", "node").alias("class"), "node"), "neardup-at")
-    several = stored(at.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).filter("n > 2 and low <> high").select("band"), "neardup-several")
-    nodes = stored(at.join(several, "band").groupBy("node", "class").agg(F.collect_set("band").alias("bands")), "neardup-open")
+    several = stored(at.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).filter("n > 2 and low <> high").select("band", F.ceil(F.col("n") / params.block).cast("int").alias("chunks")), "neardup-several")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    block = lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"))
+    dealt = at.join(several, "band").select("*", own.alias("own")).select("band", "class", "node", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), block)).alias("x"))
+    # Nodes are dealt first: their sets join them by node, many groups to a task.
+    nodes = stored(dealt.select("band", "class", "node", "x.i", "x.j"), "neardup-open")
     drop_stored(at, several)
-    given = sets.join(nodes, "node").select("node", "class", "ids", "counts")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(table: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+        _, of = np.unique(np.array(table.column("class").to_pylist(), dtype=object), return_inverse=True)
+        if of.max(initial=0) == 0:
+            return schema.empty_table()
         idf: Idf = cloudpickle.loads(idf_bytes.value)
-        for batch in batches:
-            found = []
-            for packed, counts in zip(batch.column(2), batch.column(3)):
-                ids, weights = opened(packed.as_py(), counts.as_py(), idf)
-                found.append((*prefix(ids, weights, idf(ids), params.similarity), float(weights.sum())))
-            own = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
-            column = lambda k: np.concatenate([x[k] for x in found] or [np.zeros(0)])
-            total = pa.array([x[3] for x in found], pa.float64()).take(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(column(0).astype(np.uint64).view(np.int64)), total, pa.array(column(1), pa.float64()), pa.array(column(2), pa.float64())], names=["node", "class", "shingle", "total", "left", "after"])
-        give_back()
+        both = [opened(x, c, idf) for x, c in zip(table.column("ids").to_pylist(), table.column("counts").to_pylist())]
+        names = table.column("node").to_pylist()
+        found = spanning_links([x for x, _ in both], [w for _, w in both], of, params.similarity)
+        pairs = [(*sorted((names[i], names[j])), s) for i, j, s in found]
+        return pa.table([pa.array([p[k] for p in pairs], schema.types[k]) for k in range(3)], schema=schema)
 
-    whole = stored(given.mapInArrow(work, "node binary, class binary, shingle long, total double, left double, after double"), "neardup-prefixes")
-    need = params.similarity / (1 + params.similarity) * (1 - SLACK)
-    # Written first, so that a frequent shingle can be split in the join.
-    met = stored(whole.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.ceil(F.count("*") / params.leader_chunk).cast("int").alias("chunks")).filter("low <> high").select("shingle", "chunks"), "neardup-met")
-    rare = stored(whole.join(met, "shingle").join(nodes.select("node", "bands"), "node"), "neardup-prefixes")
-    drop_stored(whole, met, nodes)
-    # The lighter sets of a frequent shingle are dealt out in chunks, the heavier go to each.
-    light = rare.filter(F.col("left") >= 2 * need * F.col("total")).select("*", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")).alias("x")
-    heavy = rare.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).alias("y")
-    ordered = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.node") < F.col("y.node")))
-    both = F.col("x.total") + F.col("y.total")
-    enough = F.least("x.left", "y.left") >= need * both
-    on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.chunk") == F.col("y.chunk")) & (F.col("x.class") != F.col("y.class")) & ordered & enough & F.arrays_overlap("x.bands", "y.bands")
-    shared = light.join(heavy, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), both.alias("both"), F.least(F.col("x.left") - F.col("x.after"), F.col("y.left") - F.col("y.after")).alias("low"), F.least("x.after", "y.after").alias("rest"))
-    bounded = shared.groupBy("a", "b").agg(F.sum("low").alias("low"), F.min("rest").alias("rest"), F.first("both").alias("both"))
-    # A chunk of a node's pairs each: their number isn't known beforehand, so they are dealt out finely.
-    return bounded.filter(F.col("low") + F.col("rest") >= need * F.col("both")).select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int").alias("chunk"))
+    rows = nodes.join(sets, "node").select("band", "i", "j", "class", "node", "ids", "counts")
+    found = stored(rows.groupBy("band", "i", "j").applyInArrow(work, "a binary, b binary, similarity double"), "neardup-links")
+    drop_stored(nodes)
+    return found
 
 
 def verified(pairs: DataFrame, sets: DataFrame, idf_bytes, params: NearDupParams) -> DataFrame:
@@ -363,29 +370,16 @@ def class_table(docs: DataFrame, params: NearDupParams, key: str, text: str) ->
     tried = stored(candidates(grouped.select(F.col("lead").alias("a"), F.col("node").alias("b"), "n").filter("a <> b")), "neardup-pairs")
     links = verified(tried, sets, idf_bytes, params)
     classes = stored(connected_components(links), "neardup-classes")
-    for turn in range(1, params.rounds):
-        at = members.join(classes, "node", "left").select("band", F.coalesce("component", "node").alias("class"), "node")
-        # One member of each class in each group, then one of them to lead.
-        chance = F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("rank"), "node")
-        ones = stored(at.groupBy("band", "class").agg(F.min(chance).alias("x")).select("band", "class", "x"), "neardup-ones")
-        leads = stored(ones.groupBy("band").agg(F.min(F.struct("x", "class")).alias("l"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("l.x.node").alias("lead"), F.col("l.class").alias("lead_class"), "n"), "neardup-leaders")
-        found = ones.join(leads, "band").filter("class <> lead_class").select(F.least("lead", "x.node").alias("a"), F.greatest("lead", "x.node").alias("b"), "n")
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(candidates(found).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
-        tried = tried.unionByName(pairs)
-        links = links.union(verified(pairs, sets, idf_bytes, params))
-        drop_stored(ones, leads, classes)
-        classes = stored(connected_components(links), "neardup-classes")
     # What the leaders left open.
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(open_pairs(members, classes, sets, idf_bytes, params).join(done, ["a", "b"], "left_anti"), "neardup-pairs")
-    if pairs.take(1):
-        links = links.union(verified(pairs, sets, idf_bytes, params))
-        classes = stored(connected_components(links), "neardup-classes")
+    more = open_links(members, classes, sets, idf_bytes, params)
+    if more.take(1):
+        links = links.union(more)
+        before, classes = classes, stored(connected_components(links), "neardup-classes")
+        drop_stored(before)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("checked_links"))
     whole = representatives.join(classes, "node", "left").join(degree, "node", "left")
     out = stored(whole.select("node", "rep", "rep_rows", "copies", F.coalesce("component", "node").alias("component"), F.coalesce("checked_links", F.lit(0)).cast("long").alias("checked_links")), "neardup-texts")
-    drop_stored(grouped, sets, pairs, classes, representatives)
+    drop_stored(grouped, sets, tried, classes, representatives)
     idf_bytes.unpersist()
     return out
 

@@ -96,10 +96,25 @@ def test_op5_twins_in_a_group_of_many_classes(spark):
     band = {bytes(r.node): r.bands[0] for r in neardup.signatures(df, "text", idf, params).collect()}
     of = [band[hashlib.md5(t.encode()).digest()] for t in texts]
     together = [i for i in range(0, len(texts), 2) if of[i] == of[i + 1] and of.count(of[i]) > 8]
-    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(df, params).collect()}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(df, neardup.NearDupParams(bands=1, rows=1, block=7)).collect()}
     assert len(together) > 8 and all(got[i + 1] == i for i in together) and all(c in (i, i - i % 2) for i, c in got.items())
 
 
+def test_op5_spanning_links():
+    rng = random.Random(9)
+    for _ in range(20):
+        n = rng.randrange(2, 30)
+        ids = [np.array(sorted(rng.sample(range(14), rng.randrange(1, 12))), np.uint64) for _ in range(n)]
+        weights = [np.array([1.0 + int(i) % 3 for i in x]) * rng.choice([1, 1, 2]) for x in ids]
+        classes = np.array([rng.randrange(12) for _ in range(n)])
+        alike = lambda i, j: neardup.weighted_jaccard((ids[i], weights[i]), (ids[j], weights[j]))
+        want = [(i, j) for i in range(n) for j in range(i) if classes[i] != classes[j] and alike(i, j) >= 0.6]
+        got = neardup.spanning_links(ids, weights, classes, 0.6)
+        assert len(got) < n and all(math.isclose(s, alike(i, j)) and s >= 0.6 and classes[i] != classes[j] for i, j, s in got)
+        same = [(i, j) for i in range(n) for j in range(i) if classes[i] == classes[j]]
+        assert same_classes(roots(n, want + same), roots(n, [(i, j) for i, j, _ in got] + same))
+
+
 def test_op5_samples_estimate_similarity():
     rng = np.random.RandomState(2)
     for n in (900, 26_000):

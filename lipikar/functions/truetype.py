@@ -7,6 +7,8 @@ import re
 import struct
 from dataclasses import dataclass, field
 
+from .glyphnames import mac_name, standard_text
+
 
 class FontFault(ValueError):
     """What makes a font unreadable."""
@@ -79,11 +81,13 @@ class Font:
         return out
 
     def names(self) -> list[str]:
-        """Glyph names; ``glyphNNNNN`` where the font has none. The standard Macintosh names are given by number."""
+        """Glyph names; ``glyphNNNNN`` where the font has none."""
         t = self.tables.get("post", b"")
         out = [f"glyph{i:05d}" for i in range(self.count)]
         if out:
             out[0] = ".notdef"
+        if t[:4] == b"\x00\x01\x00\x00":  # the standard ones, in their order
+            return [mac_name(g) if g < 258 else n for g, n in enumerate(out)]
         if len(t) < 34 or t[:4] != b"\x00\x02\x00\x00":
             return out
         n = struct.unpack_from(">H", t, 32)[0]
@@ -96,7 +100,7 @@ class Font:
             if k >= 258 and k - 258 < len(strings):
                 out[g] = strings[k - 258]
             elif 0 < k < 258:
-                out[g] = f"mac{k}"
+                out[g] = mac_name(k)
         return out
 
     def advances(self) -> list[int]:
@@ -171,9 +175,11 @@ class Font:
 
 
 def name_to_text(name: str) -> str | None:
-    """``uniXXXX`` parts, all of them, or ``uXXXX``; None for others."""
+    """What a standard name says, else ``uniXXXX`` parts, all of them, or ``uXXXX``; None for others."""
     if name == ".notdef":
         return None
+    if text := standard_text(name):
+        return text
     if parts := re.findall(r"uni([0-9A-F]{4,6})", name):
         return "".join(chr(int(p, 16)) for p in parts if int(p, 16) < 0x110000) or None
     m = re.fullmatch(r"u([0-9A-F]{4,6})", name.split(".")[0])

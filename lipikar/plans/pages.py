@@ -48,6 +48,11 @@ class Parts:
     ttf: DataFrame
     strict: bool = False
 
+    def release(self) -> None:
+        """Lets go of what executors hold, once results have been written; tables made from it are worked out again if they are read."""
+        for table in (self.objects, self.fonts, self.ops, self.ttf):
+            table.unpersist()
+
 
 def read_parts(files: DataFrame, fallback: bool = False, strict: bool = False) -> Parts:
     """``objects, pages, fonts, ops, codes, ttf`` of ``files(pdf_id, content)``."""

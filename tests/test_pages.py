@@ -13,7 +13,7 @@ from lipikar.sources import mappings, pdf, sinks, writer
 
 CODES = {1: "ক", 2: "ি", 3: "সে", 4: "ন", 5: "x"}
 SHAPES = [[]] + [[[(0, 0), (100 * i, 0), (100, 100 * i)]] for i in range(1, 8)]
-NAMES = [".notdef", "a", "b", "c", "d", "e", "uni0AA8", "uni09A8"]
+NAMES = [".notdef", "g1", "g2", "g3", "g4", "g5", "uni0AA8", "uni09A8"]
 FONT = writer.build_font({ord("ক"): 1, ord("প"): 6}, SHAPES, NAMES)
 SCHEMA = "pdf_id string, content binary"
 
@@ -113,7 +113,7 @@ def test_truetype():
     assert truetype.glyph_texts(font) == {1: "ক", 6: "প", 7: "ন"}
     prints = truetype.fingerprints(font)
     assert len(set(prints.values())) == font.count and truetype.fingerprint(font, 99) == "gid:99"
-    other = truetype.Font(writer.build_font({ord("ক"): 2}, [[], SHAPES[2], SHAPES[1]], [".notdef", "b", "a"]))
+    other = truetype.Font(writer.build_font({ord("ক"): 2}, [[], SHAPES[2], SHAPES[1]], [".notdef", "g2", "g1"]))
     assert truetype.fingerprint(other, 2) == prints[1]
     assert "<path" in truetype.glyph_svg(font, 1) and "no outline" in truetype.glyph_svg(font, 0) and truetype.INK in truetype.line_svg(font, [1, 2], 2)
     made, counts = truetype.unicode_font(FONT, {1: "ক", 2: "ষ", 3: "কষ"}, "Made")
@@ -124,6 +124,17 @@ def test_truetype():
         truetype.Font(b"xx")
 
 
+def test_standard_glyph_names():
+    from lipikar.functions import glyphnames
+
+    text = truetype.name_to_text
+    # Names and what they stand for.
+    known = {"A": "A", "aacute": "á", "Ccedilla": "Ç", "seven": "7", "quotesingle": "'", "alpha": "α", "Lambda": "Λ", "emdash": "—", "fi": "ﬁ", "a.sc": "a", "f_i": "fi", "uni0995uni09CD": "ক্", "u1D4B3": "𝒳"}
+    assert {n: text(n) for n in known} == known and text("g12") is None and text(".notdef") is None
+    order = {3: "space", 36: "A", 68: "a", 97: "asciitilde", 98: "Adieresis", 143: "notequal", 172: "nonbreakingspace", 189: "currency", 210: "apple", 225: "caron", 226: "Lslash", 257: "dcroat"}
+    assert {k: glyphnames.mac_name(k) for k in order} == order and len({glyphnames.mac_name(k) for k in range(258)}) == 258
+
+
 def test_learned_round_trip(spark):
     db = {"schema_version": 1, "fonts": {"k1": {"base_font": "B", "glyphs": {"7": {"gid": 7, "text": "ক", "unicode": ["U+0995"], "glyph_fingerprint": "glyph:1", "confidence": 1.0, "source": "user_confirmed"}}}}}
     rows = mappings.learned_glyphs(spark.createDataFrame([(json.dumps(db),)], "value string"))

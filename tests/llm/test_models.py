@@ -418,4 +418,24 @@ def test_pipeline_stages(spark):
     assert set(first) == kept
     place = {r.doc_id: n for n, r in enumerate(got)}
     assert np.corrcoef([place[i] for i in first], range(len(first)))[0, 1] > 0.3
+    from lipikar.llm import common
+
+    made = common.stored_so_far()
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+    assert common.stored_so_far() - made <= 2  # what the last stage reads
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, nothing):
+    """Nulls, repeats, an empty table and extra columns that have the names of working columns."""
+    sf = "/root/testdata/sf0.001"
+    more = "toxic_score double, toxic_evidence string, mix_slot int, row_at long, kept_id int, sequence_id int"
+    extra = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in more.split(", ")]
+    for docs, n in ((odd.select("*", *extra), 11), (nothing.select("*", *extra), 0)):
+        stages = dict(corpus_pipeline.STAGES)
+        for name in ("toxicity", "secrets", "mixing"):
+            out = stages[name](spark, docs, sf)
+            assert out.columns == docs.columns and out.count() == n, name
+        kept = stages["near_dedup"](spark, docs, sf)
+        assert kept.columns == docs.columns and kept.count() == (7 if n else 0)
+        packed = stages["packing"](spark, docs, sf)
+        assert packed.filter("piece = 0").count() == n

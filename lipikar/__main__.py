@@ -21,6 +21,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--text", help="write texts to this folder")
     p.add_argument("--json", help="write page reports to this folder")
     p.add_argument("--dump", help="write pictures of unresolved glyphs to this folder")
+    p.add_argument("--profile", action="store_true", help="say how long each stage takes")
     p.add_argument("--generate-ttf", help="write a font with the confirmed mappings")
     a = p.parse_args(args)
 
@@ -35,7 +36,10 @@ def main(args: list[str] | None = None) -> int:
         legacy = mappings.legacy_mapping(read(a.mapping)) if a.mapping else None
         glyphs = mappings.learned_glyphs(read(a.learned)) if a.learned else None
         own = mappings.read_corrections(read(a.corrections)) if a.corrections else None
-        parts = pages.read_parts(pdf.read_files(spark, a.pdf, "*"))
+        files = pdf.read_files(spark, a.pdf, "*")
+        if a.profile:
+            print(json.dumps({k: round(v, 3) for k, v in pages.stage_seconds(files, legacy, glyphs, a.preset, own).items()}), file=sys.stderr)
+        parts = pages.read_parts(files)
         if a.page:
             parts.pages = resolve.one_page(parts.pages, F.lit(a.page))
             parts.codes = parts.codes.filter(F.col("page_no") == a.page)

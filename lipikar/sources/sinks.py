@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,19 @@ def write_json(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").json(path)
 
 
+def cache_fonts(ttf: DataFrame, path: str) -> DataFrame:
+    """Adds the embedded fonts of ``ttf(fkey, ttf)`` that ``path`` lacks, once each, and returns the whole cache."""
+    spark = ttf.sparkSession
+    fonts = ttf.select("fkey", "ttf").dropDuplicates(["fkey"])
+    try:
+        known = spark.read.parquet(path)
+        fonts = fonts.join(known.select("fkey"), "fkey", "left_anti")
+    except AnalysisException:  # nothing there yet
+        pass
+    fonts.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def hex_dump(data: Column, width: int = 16, start: int = 0, most: int | None = None) -> Column:
     """``array<struct<offset, hex, ascii>>``: lines of ``width`` bytes from ``start``, ``most`` bytes at most."""
     if width not in (8, 16, 32):

@@ -218,6 +218,13 @@ def test_pictures(spark, parts):
     assert "a &lt; b" in pictures.review_pages(parts.ttf, lines).first().html
 
 
+def test_font_cache_and_stage_seconds(spark, files, parts, tmp_path):
+    one = sinks.cache_fonts(parts.ttf, str(tmp_path / "fonts"))
+    assert one.count() == 1 and sinks.cache_fonts(parts.ttf, str(tmp_path / "fonts")).count() == 1
+    seconds = pages.stage_seconds(files.filter("pdf_id = 'a'"))
+    assert list(seconds) == ["pdf_read", "page_analysis", "font_bytes_lookup", "mapping_materialize", "text_processing", "total"]
+
+
 def test_command_line(spark, tmp_path, capsys):
     from lipikar.__main__ import main
 

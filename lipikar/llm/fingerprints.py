@@ -21,8 +21,8 @@ SECTION = 8
 #: Boundaries kept on the driver and in the plan: 2 ** STEPS at most.
 STEPS = 17
 ROWS_PER_BUCKET = 4_000
-#: Rows whose keys are looked at for each boundary.
-SAMPLED = 4
+#: Rows whose keys are looked at for each boundary, and for all.
+SAMPLED, MOST_SAMPLED = 64, 1 << 21
 #: Leaves in a sketch, of eight hexadecimal digits each.
 SKETCH, DIGITS = 64, 8
 #: What unequal texts can't exceed.
@@ -114,12 +114,14 @@ def edits(a_paragraphs: Column, a_sections: Column, b_paragraphs: Column, b_sect
 
 def _bounds(rows: DataFrame, buckets: int, total: int) -> list[tuple[int, int]]:
     """Ends of buckets in ascending order of ``k, tie``, all of them pairs that occur, the highest of all last."""
-    step = max(1, total // (buckets * SAMPLED))
+    step = max(1, total // min(buckets * SAMPLED, MOST_SAMPLED))
     seen = rows.select("k", "tie").filter(F.pmod(F.xxhash64("k", "tie", F.lit(17)), F.lit(step)) == 0)
-    got = seen.agg(F.sort_array(F.collect_set(F.struct("k", "tie"))).alias("s")).first()["s"] if buckets > 1 else []
+    inner = []
+    if buckets > 1:  # only the boundaries reach the driver
+        pick = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("s", F.floor(F.size("s") * i.cast("long") / buckets).cast("int")))
+        inner = seen.agg(F.sort_array(F.collect_set(F.struct("k", "tie"))).alias("s")).select(F.array_distinct(pick).alias("b")).first()["b"]
     top = rows.agg(F.max(F.struct("k", "tie")).alias("m")).first()["m"]
-    inner = [(got[len(got) * (i + 1) // buckets]["k"], got[len(got) * (i + 1) // buckets]["tie"]) for i in range(buckets - 1) if got]
-    return sorted({*inner, (top["k"], top["tie"])})
+    return sorted({*((x["k"], x["tie"]) for x in inner if x is not None), (top["k"], top["tie"])})
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, Window]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, stored
+from .common import drop_stored, give_back, stored
 from .words import mixed
 
 
@@ -41,7 +41,7 @@ class KatzParams:
     #: Counts up to this are discounted.
     cutoff: int = 5
     #: A batch is closed by the document that brings it to so many tokens.
-    batch_tokens: int = 1_500_000
+    batch_tokens: int = 1_000_000
     #: A context seen more often is dealt to several partitions, this many tokens to each.
     hot: int = 500_000
     #: N-grams in a row of the stored model.
@@ -313,7 +313,7 @@ class Batch:
         self.tokens, self.lengths = unpack(row["tokens"]), unpack(row["lengths"]).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.held = np.repeat(np.frombuffer(row["held"], np.uint8) != 0, self.lengths)
-        owners = _by_part(unpack(row["words"]).astype(np.uint64), parts)
+        owners = unpack(row["owners"])
         n = len(owners)
         self.numbers, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
         words = said[said["kind"] == "word"]
@@ -405,6 +405,16 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
         got = table.filter("kind = 'stats'").select(F.posexplode("stats").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()
         return [next((x["n"] for x in got if x["r"] == r), 0) for r in range(length)]
 
+    # From here on a batch needs its words' partitions only, which are an eighth of their hashes.
+    def owned(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            owners = pa.array([pack(_by_part(unpack(x.as_py()).astype(np.uint64), parts)) for x in frame.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([frame.column(0), owners, *frame.columns[2:]], names=["batch", "owners", *frame.schema.names[2:]])
+
+    rest = "tokens lengths ids no_id held"
+    whole, batches = batches, stored(batches.select("batch", "words", *rest.split()).mapInArrow(owned, "batch long, " + blob("owners " + rest)), "katz-batches")
+    drop_stored(whole)
+
     sums = summed_stats(words, k + 4)
     total, types = sums[0], sums[1]
     unigrams = Unigrams(sums[2:], total, types, k)
@@ -430,6 +440,7 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
                 columns = [pack_sorted(g.columns[contexts, -1]), *(pack(c) for c in g.columns[contexts, :-1].T)]
                 sizes = below.size()[below.context[_shorter(g, below, contexts)]] if below is not None else np.zeros(0, np.int64)
                 out.append((part, number, _joined(columns), pack(runs), pack(batch.numbers[g.word[grams]]), pack(g.low_count[grams]), pack(g.seen[grams]), pack(g.held[grams]), pack(sizes), pack(g.salts[contexts]), pack(g.open[contexts]), None))
+            give_back()
             return pd.DataFrame(out, columns=["part", "batch", "contexts", "runs", "words", "low", "seen", "held", "sizes", "salts", "open", "stats"])
 
         def count(frame: pd.DataFrame) -> pd.DataFrame:
@@ -473,6 +484,7 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
                 done, done_h = done + j, done_h + m
             out += [_said(order=order, part=part, batch=-1, kind="sums", key=contexts[x].tobytes(), few=few[x].tolist(), lower=float(lower[x])) for x in np.flatnonzero(hot)]
             out.append(_said(order=order, part=part, batch=-1, kind="stats", stats=_counts_of(c, k).tolist()))
+            del cells, columns, matrix, at, word
             known_grams = np.flatnonzero(c > 0)
             for a in range(0, len(known_grams), params.block):
                 g = known_grams[a : a + params.block]
@@ -480,7 +492,7 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
                 out.append(_said(order=order, part=part, batch=a // params.block, kind="model", a=_joined([pack(x) for x in contexts[ctx].T]), b=pack(run), c=pack(words[keys[g] % len(words)]), d=pack(c[g]), e=lower[ctx[run > 1]].tobytes()))
             return pd.DataFrame(out, columns=_NAMES)
 
-        asks = batches.drop("seen", "ids", "no_id").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(ask, "part int, batch long, " + blob("contexts runs words low seen held sizes salts open") + ", stats array<long>")
+        asks = batches.drop("ids", "no_id").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(ask, "part int, batch long, " + blob("contexts runs words low seen held sizes salts open") + ", stats array<long>")
         # Batches' own counts go to as many groups as there are partitions.
         asks = asks.withColumn("part", F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("batch", F.monotonically_increasing_id()), F.lit(parts)).cast("int")).otherwise(F.col("part")))
         return stored(asks.groupBy("part").applyInPandas(count, _SAID), f"katz-{order}", ["kind"])
@@ -511,7 +523,7 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
         return pd.DataFrame({key: ids, "held_out": np.frombuffer(row["held"], np.uint8) != 0, "n_tokens": batch.lengths, "n_known": add((batch.count[batch.tokens] > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base[batch.tokens]), "score": add(np.log10(p)[at])})
 
     schema = T.StructType([T.StructField(key, T.LongType()), T.StructField("held_out", T.BooleanType()), *(T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return batches.drop("seen").groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(score, schema)
+    return batches.groupBy("batch").cogroup(said.groupBy("batch")).applyInPandas(score, schema)
 
 
 def _joined(blobs: list[bytes]) -> bytes:

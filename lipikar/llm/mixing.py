@@ -192,7 +192,7 @@ def mix_sources(
     text: str = "text",
     block_rows: int = 16,
     temperature: float = 2.0,
-    rows_per_bucket: int = 2_000,
+    rows_per_bucket: int = 500,
 ) -> DataFrame:
     """``key, source, mix_block, mix_slot, mix_offset`` for each row of ``docs``; sorting by the last two gives the mixed order.
 
@@ -222,7 +222,7 @@ def in_mixed_order(
     text: str = "text",
     block_rows: int = 16,
     temperature: float = 2.0,
-    rows_per_bucket: int = 2_000,
+    rows_per_bucket: int = 500,
     rows_per_file: int = 10_000,
     keep_places: bool = False,
 ) -> DataFrame:

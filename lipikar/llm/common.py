@@ -9,6 +9,7 @@ import threading
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,14 @@ def kept(name: str) -> dict:
     return sys.modules.setdefault("_lipikar_kept", types.ModuleType("_lipikar_kept")).__dict__.setdefault(name, {})
 
 
+def unpickled(broadcast):
+    """What a broadcast's pickle holds. The bytes are let go of, as an idle worker would keep them as long as it lives; the next task reads them again."""
+    out = cloudpickle.loads(broadcast.value)
+    if getattr(broadcast, "_path", None):
+        broadcast.__dict__.pop("_value", None)
+    return out
+
+
 def give_back() -> None:
     """Hands memory that a task has freed back to the system: idle workers of earlier stages stay beside those of the next."""
     import pyarrow as pa

@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, fresh, give_back, stored
+from .common import drop_stored, fresh, give_back, stored, unpickled
 from .components import connected_components
 from .frequencies import UNIT, Idf, summed
 from .words import ID_BITS, Shingler, chunks, mixed, pack_counts, pack_ids, unpack_counts, unpack_ids
@@ -186,7 +186,7 @@ def signatures(docs: DataFrame, text: str, idf_bytes, params: NearDupParams) ->
     """``node, bands`` for each row with words; ``bands`` are hashes of ``rows`` samples each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf: Idf = cloudpickle.loads(idf_bytes.value)
+        idf: Idf = unpickled(idf_bytes)
         shingler, sampler = Shingler(params.shingle), WeightedSampler(params.bands * params.rows, params.seed)
         for batch in batches:
             done = 0
@@ -326,7 +326,7 @@ def verified(pairs: DataFrame, sets: DataFrame, idf_bytes, params: NearDupParams
     whole = pairs.join(sets.select(F.col("node").alias("b"), F.col("ids").alias("ib"), F.col("counts").alias("cb")), "b").join(left, ["a", "chunk"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf: Idf = cloudpickle.loads(idf_bytes.value)
+        idf: Idf = unpickled(idf_bytes)
         last: tuple = (None, None)
         for batch in batches:
             keep, values = [], []

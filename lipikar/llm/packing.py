@@ -22,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, stored
+from .common import give_back, kept, stored
 
 CAPACITY, OPEN_BINS, ROWS_PER_PACKER = 2048, 512, 40_000
-#: Bytes of words and ids that a worker holds; a word longer than _CACHED_LENGTH bytes isn't held.
-_CACHED_BYTES, _CACHED_LENGTH = 96 << 20, 64
+#: Bytes of words and ids that a task holds; a word longer than _CACHED_LENGTH bytes isn't held.
+_CACHED_BYTES, _CACHED_LENGTH = 64 << 20, 64
 _LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: What an entry of the cache takes beyond its own bytes.
 _ENTRY = 170
@@ -117,6 +117,11 @@ class WordEncoder:
             self.held[0] += len(w) + len(out) + _ENTRY
         return out
 
+    def forget(self) -> None:
+        """Empties the cache: an idle worker would keep it beside the next stage's."""
+        self.cache.clear()
+        self.held[0] = 0
+
     def encode(self, text: str) -> bytes:
         """Splits at ASCII white space; any other is left to the tokenizer, inside a word."""
         get, word = self.cache.get, self.word
@@ -191,6 +196,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, order: list[Column], key:
             kept = [c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]]
             more = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(ids, pa.binary())] if keep_ids else [])]
             yield pa.RecordBatch.from_arrays([*kept, *more], names=[f.name for f in fields])
+        encoder.forget()
+        give_back()
 
     return given.mapInArrow(work, T.StructType(fields))
 

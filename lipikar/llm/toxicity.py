@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stored, give_back, stored
+from .common import drop_stored, give_back, stored, unpickled
 from .frequencies import UNIT, Idf, summed
 from .words import Shingler, chunks, pack_ids, unpack_ids
 
@@ -262,7 +262,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     shipped = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: ToxicityModel = cloudpickle.loads(shipped.value)
+        own: ToxicityModel = unpickled(shipped)
         words = Shingler(1)
         empty = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:

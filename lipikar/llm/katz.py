@@ -41,7 +41,7 @@ class KatzParams:
     #: Counts up to this are discounted.
     cutoff: int = 5
     #: A batch is closed by the document that brings it to so many tokens.
-    batch_tokens: int = 1_000_000
+    batch_tokens: int = 1_300_000
     #: A context seen more often is dealt to several partitions, this many tokens to each.
     hot: int = 500_000
     #: N-grams in a row of the stored model.

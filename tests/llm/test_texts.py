@@ -268,7 +268,7 @@ def test_op9_method_against_plain_triples(spark):
         texts.append(rng.choice([" ", "-", ".\n"]).join(words))
     df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     got = {r.doc_id: sorted((p.start, p.end, p.label, p.base) for p in r.places) for r in licenses.scan_licenses(df).collect()}
-    assert got == {n: naive_places(t) for n, t in enumerate(texts)} and sum(map(len, got.values())) > 50
+    assert got == {n: naive_places(t) for n, t in enumerate(texts)} and sum(map(len, got.values())) > 30
 
 
 def naive_spans(text):

@@ -19,8 +19,11 @@ and isn't asked for.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import count as counter
 
 import numpy as np
 import pandas as pd
@@ -48,6 +51,11 @@ class KatzParams:
     block: int = 1 << 16
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
 def pack(a: np.ndarray) -> bytes:
     """Non-negative integers in the fewest bytes each, plane by plane, compressed."""
     width = 1
@@ -55,12 +63,12 @@ def pack(a: np.ndarray) -> bytes:
     while top >> (8 * width):
         width *= 2
     planes = np.ascontiguousarray(a.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
+    return bytes([width]) + _zstd()[0].compress(planes.reshape(-1))
 
 
 def unpack(b: bytes) -> np.ndarray:
     width = b[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(memoryview(b)[1:]), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64 if width == 8 else np.int64)
 
 
@@ -73,6 +81,31 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(unpack(b).astype(np.int64))
 
 
+def ranked(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in ascending order, the first place of each, each value's number among them), as ``np.unique`` gives them.
+
+    A value and its place are sorted as one number where both fit into 64 bits,
+    which takes a fourth of the time of sorting places by values.
+    """
+    bits = max(len(a) - 1, 0).bit_length()
+    if not len(a) or int(a.min()) < 0 or int(a.max()) >> (64 - bits):
+        return np.unique(a, return_index=True, return_inverse=True)
+    both = (a.astype(np.uint64) << np.uint64(bits)) | np.arange(len(a), dtype=np.uint64)
+    both.sort()
+    at = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both >>= np.uint64(bits)
+    new = np.ones(len(a), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    number = np.empty(len(a), np.int64)
+    number[at] = np.cumsum(new) - 1
+    return both[new].astype(a.dtype), at[new], number
+
+
+def steady(a: np.ndarray) -> np.ndarray:
+    """A stable ``argsort`` of non-negative integers, by radix where they are small."""
+    return np.argsort(a.astype(np.uint16) if int(a.max(initial=0)) < 1 << 16 else a, kind="stable")
+
+
 def smoothed(n: list[int], k: int) -> list[float]:
     """Simple Good-Turing's counts of counts for r from 1 to k + 1: a line through (log r, log n[r]), weighted by n[r].
 
@@ -135,14 +168,15 @@ class Unigrams:
 
 def freed(few: np.ndarray, d: Discounts) -> np.ndarray:
     """What the discounts take from contexts in which ``few[:, r - 1]`` words were seen r times; one observation where that is nothing."""
-    free = (few * np.arange(1, d.k + 1) * (1.0 - d.table[1:])).sum(axis=1)
+    free = np.zeros(len(few))
+    for r in range(1, d.k + 1):
+        free += few[:, r - 1] * r * (1.0 - d.table[r])
     return np.where(free > 0, free, 1.0)
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+def _numbers() -> defaultdict:
+    """Words to numbers, given out as they come; an empty word stands for the end mark."""
+    return defaultdict(counter(END + 1).__next__, {b"": END})
 
 
 #: The end mark is word 0 of each batch; so many of it are the context of a text's first word.
@@ -152,7 +186,7 @@ END = 0
 def _hashes(words) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    out = np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    out = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     out[END] = xxh64_intdigest(b"end", 1)
     return out
 
@@ -177,7 +211,7 @@ def _batches(params: KatzParams):
             row = [first + made, pack(_hashes(words)[order]), pack(seen[order]), pack(new[tokens]), pack(lengths), np.array(ids, np.int64).tobytes(), bytes(empty), bytes(held)]
             return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], names=names)
 
-        words, texts, ids, empty, held, size = _Numbers({b"": END}), [], [], [], [], 0
+        words, texts, ids, empty, held, size = _numbers(), [], [], [], [], 0
         for frame in frames:
             for i, h, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(2)):
                 text = t.as_buffer().to_pybytes() if t.is_valid else b""
@@ -189,7 +223,7 @@ def _batches(params: KatzParams):
                 if size >= params.batch_tokens:
                     yield close()
                     made += 1
-                    words, texts, ids, empty, held, size = _Numbers({b"": END}), [], [], [], [], 0
+                    words, texts, ids, empty, held, size = _numbers(), [], [], [], [], 0
         if texts:
             yield close()
         del words, texts
@@ -227,11 +261,12 @@ class Grams:
         before = np.empty(len(tokens), np.int64)
         before[1:] = below_at[:-1]
         before[starts] = below_n
-        keys, first, self.at = np.unique(before * n_words + tokens, return_index=True, return_inverse=True)
-        self.context, self.word, self.low = keys // n_words, keys % n_words, below_at[first]
+        keys, first, self.at = ranked(before * n_words + tokens)
+        self.context, self.word, self.low = before[first], tokens[first], below_at[first]
         self.columns = below_columns
-        self.seen = np.bincount(self.at[~held_tokens], minlength=len(keys))
-        self.held = np.bincount(self.at[held_tokens], minlength=len(keys)) > 0
+        held = np.bincount(self.at[held_tokens], minlength=len(keys))
+        self.seen = np.bincount(self.at, minlength=len(keys)) - held
+        self.held = held > 0
         self.n = len(keys)
 
     def learn(self, total: np.ndarray, asked_for: np.ndarray, low_count: np.ndarray, numbers: np.ndarray, parts: int, params: KatzParams) -> None:
@@ -246,28 +281,34 @@ class Grams:
         for column in self.columns.T:
             hashes = mixed(hashes + column.astype(np.uint64) + np.uint64(0x9E37))
         self.salts = np.maximum(1, -(-total // params.hot))
-        salt = (mixed(numbers[self.word].astype(np.uint64)) % self.salts[self.context].astype(np.uint64)).astype(np.uint64)
-        self.owner = _by_part(hashes[self.context] + salt, parts)
-        self.context_owner = _by_part(hashes, parts)
+        self.own = np.flatnonzero(self.asks)
+        owner = hashes[self.context[self.own]]
+        hot = np.flatnonzero(self.salts[self.context[self.own]] > 1)
+        grams = self.own[hot]
+        owner[hot] += mixed(numbers[self.word[grams]].astype(np.uint64)) % self.salts[self.context[grams]].astype(np.uint64)
+        self.owner = _by_part(owner, parts)
         # Contexts in which something wasn't seen, for all the batch knows, are asked for by themselves.
         open_ = np.zeros(len(total), bool)
         open_[self.context[(known > 0) & (low_count == 0)]] = True
         self.open = open_
+        self.alone_contexts = np.flatnonzero(open_)
+        self.context_owner = _by_part(hashes[self.alone_contexts], parts)
 
     def cells(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(partition, contexts in ascending order of their columns, their n-grams in that order) for each partition asked."""
-        own = np.flatnonzero(self.asks)
-        by_part = dict(_groups(self.owner, own[np.argsort(self.owner[own], kind="stable")]))
-        alone = np.flatnonzero(self.open)
-        contexts_by = dict(_groups(self.context_owner, alone[np.argsort(self.context_owner[alone], kind="stable")]))
+        by_part = {part: self.own[g] for part, g in _groups(self.owner, steady(self.owner))}
+        contexts_by = {part: self.alone_contexts[g] for part, g in _groups(self.context_owner, steady(self.context_owner))}
+        place = np.empty(len(self.total), np.int64)
         out = []
         for part in sorted(set(by_part) | set(contexts_by)):
             grams = by_part.get(part, np.zeros(0, np.int64))
-            contexts = np.union1d(self.context[grams], contexts_by.get(part, np.zeros(0, np.int64)))
-            contexts = contexts[np.lexsort(self.columns[contexts].T)]  # by the last word first
-            place = np.empty(len(self.total), np.int64)
+            contexts = self.context[grams]  # which ascend as n-grams do
+            contexts = contexts[np.diff(contexts, prepend=-1) > 0]
+            if part in contexts_by:
+                contexts = np.union1d(contexts, contexts_by[part])
+            contexts = contexts[_by_last(self.columns[contexts])]
             place[contexts] = np.arange(len(contexts))
-            out.append((part, contexts, grams[np.argsort(place[self.context[grams]], kind="stable")]))
+            out.append((part, contexts, grams[steady(place[self.context[grams]])]))
         return out
 
     def answered(self, answers: pd.DataFrame, hot: pd.DataFrame, k: int) -> None:
@@ -317,7 +358,7 @@ class Batch:
         n = len(owners)
         self.numbers, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
         words = said[said["kind"] == "word"]
-        places = dict(_groups(owners, np.argsort(owners, kind="stable")))
+        places = dict(_groups(owners, steady(owners)))
         for r in words.itertuples():
             self.numbers[places[r.part]], self.count[places[r.part]] = unpack(r.a), unpack(r.b)
         self.orders: list[Grams] = []
@@ -381,13 +422,13 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
             for batch, words, seen in zip(*(c.to_pylist() for c in frame.columns)):
                 hashes, c = unpack(words).astype(np.uint64), unpack(seen)
                 of = _by_part(hashes, parts)
-                own = _groups(of, np.argsort(of, kind="stable"))
+                own = _groups(of, steady(of))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int32()), pa.array([batch] * len(own), pa.int64()), pa.array([pack(hashes[g]) for _, g in own], pa.binary()), pa.array([pack(c[g]) for _, g in own], pa.binary())], names=["part", "batch", "words", "seen"])
 
     def count_words(frame: pd.DataFrame) -> pd.DataFrame:
         part = int(frame["part"].iloc[0])
         asked = [unpack(x).astype(np.uint64) for x in frame["words"]]
-        distinct, at = np.unique(np.concatenate(asked), return_inverse=True)
+        distinct, _, at = ranked(np.concatenate(asked))
         total = np.bincount(at, weights=np.concatenate([unpack(x) for x in frame["seen"]]), minlength=len(distinct)).astype(np.int64)
         number = np.empty(len(distinct), np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(distinct))
@@ -453,8 +494,8 @@ def score_documents(docs: DataFrame, held_out: Column, params: KatzParams = Katz
             contexts, h = _distinct(matrix)
             runs, word, low, seen, held, sizes, salts, open_ = (np.concatenate([c[i] for c in cells]).astype(np.int64) for i in range(8))
             h_of = np.repeat(h, runs)
-            words, w = np.unique(word, return_inverse=True)
-            keys, at = np.unique(h_of * len(words) + w, return_inverse=True)
+            words, _, w = ranked(word)
+            keys, _, at = ranked(h_of * len(words) + w)
             c = np.bincount(at, weights=seen, minlength=len(keys)).astype(np.int64)
             elsewhere = np.bincount(at, weights=held, minlength=len(keys)) > 0
             context, n = keys // max(len(words), 1), len(contexts)
@@ -553,16 +594,25 @@ def _shorter(g: Grams, below: Grams, contexts: np.ndarray) -> np.ndarray:
     return any_gram[contexts]
 
 
+def _by_last(columns: np.ndarray) -> np.ndarray:
+    """The order of distinct rows by their last column first, then the one before."""
+    if len(columns) and columns.shape[1] <= 2:
+        size = int(columns[:, 0].max()) + 1
+        if columns.shape[1] == 1:
+            return np.argsort(columns[:, 0])
+        if (int(columns[:, 1].max()) + 1) * size < 1 << 63:
+            return np.argsort(columns[:, 1] * size + columns[:, 0])
+    return np.lexsort(columns.T)
+
+
 def _distinct(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct rows, number of each row's)."""
     if matrix.shape[1] == 1:
-        values, at = np.unique(matrix[:, 0], return_inverse=True)
+        values, _, at = ranked(matrix[:, 0])
         return values[:, None], at
     # Rows by their columns' ranks, two columns at a time: ranks stay small.
     code = np.zeros(len(matrix), np.int64)
     for column in matrix.T:
-        values, rank = np.unique(column, return_inverse=True)
-        _, code = np.unique(code * len(values) + rank, return_inverse=True)
-    first = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
-    first[code] = np.arange(len(matrix))
+        values, _, rank = ranked(column)
+        _, first, code = ranked(code * len(values) + rank)
     return matrix[first], code

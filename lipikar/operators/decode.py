@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,19 @@ def told(codes: Column, code_map: Column) -> Column:
     return F.transform(codes, lambda c: F.coalesce(F.try_element_at(code_map, c), F.format_string(MARKER, c)))
 
 
+class Told(dict):
+    """``told`` for the bytes of whole strings, by a map of codes to texts that takes in the markers of those it lacks."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = MARKER % code
+        return out
+
+    def __call__(self, data: bytes, strict: bool = False) -> str:
+        if strict and len(data) % 2:
+            raise ValueError("odd number of bytes in an Identity-H string")
+        return "".join(map(self.__getitem__, struct.unpack_from(f">{len(data) // 2}H", data)))
+
+
 def untold(codes: Column, code_map: Column) -> Column:
     """The distinct codes of an array that the map lacks, in ascending order."""
     return F.array_sort(F.array_distinct(F.array_except(codes, F.coalesce(F.map_keys(code_map), F.array().cast("array<int>")))))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,6 +181,25 @@ def op_texts(parts: Parts, mapping: DataFrame) -> DataFrame:
     return found.select(*shows.columns, decode.told(F.col("cids"), F.col("code_map")).alias("tokens"), decode.untold(F.col("cids"), F.col("code_map")).alias("missing"))
 
 
+def raw_texts(parts: Parts, mapping: DataFrame) -> DataFrame:
+    """``pdf_id, page_no, text``: a page's shows in order, a line each, as decoded. The page's map is met once, and its codes by whole strings."""
+    strings = F.transform(F.filter("operands", lambda o: o["kind"] == "string"), lambda o: o["bytes"])
+    shows = parts.ops.filter("operator is not null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("op_seq", strings.alias("s")))).alias("shows"))
+    found = shows.join(decode.code_maps(mapping, PAGE), PAGE, "left")
+    given = found.select(*PAGE, F.transform("shows", lambda x: x["s"]).alias("shows"), F.map_keys("code_map").alias("cids"), F.map_values("code_map").alias("texts"))
+    strict = parts.strict
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shows, cids, texts in zip(*batch.columns[len(PAGE) :]):
+                told = decode.Told({c: t for c, t in zip(cids.as_py() or (), texts.as_py() or ()) if t is not None})
+                out.append("\n".join(["".join([told(s, strict) for s in show]) for show in shows.as_py()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(PAGE)], pa.array(out, pa.string())], names=[*PAGE, "text"])
+
+    return given.mapInArrow(work, T.StructType([*given.schema.fields[: len(PAGE)], T.StructField("text", T.StringType())]))
+
+
 def page_texts(parts: Parts, mapping: DataFrame, corrections: dict[str, str] | None = None, raw: bool = False, renormalize: bool = False, shaping: bool = True) -> DataFrame:
     """``pdf_id, page_no, text, error``: one line for each show, in logical order, normalised and repaired (``raw``: as decoded).
 
@@ -188,14 +209,15 @@ def page_texts(parts: Parts, mapping: DataFrame, corrections: dict[str, str] | N
     """
     ops = op_texts(parts, mapping)
     if raw:
-        lines = ops.select(*PAGE, "op_seq", F.array_join("tokens", "").alias("text"))
+        joined = raw_texts(parts, mapping)
     elif shaping and script.can_shape():
         fonts = parts.fonts.filter("font_file2 is not null").groupBy(*PAGE).agg(F.min_by("font_file2", "font_ord").alias("font_file2"))
         fonts = fonts.join(parts.ttf.groupBy("pdf_id", "font_file2").agg(F.first("ttf").alias("ttf")), ["pdf_id", "font_file2"]).select(*PAGE, "ttf")
         lines = ops.join(fonts, PAGE, "left").select(*PAGE, "op_seq", chosen("tokens", "cids", "missing", "ttf").alias("text"))
     else:
         lines = ops.select(*PAGE, "op_seq", F.array_join(logical("tokens"), "").alias("text"))
-    joined = decode.joined(lines, PAGE, ["op_seq"], sep="\n")
+    if not raw:
+        joined = decode.joined(lines, PAGE, ["op_seq"], sep="\n")
     errors = parts.ops.groupBy(*PAGE).agg(F.min("error").alias("error"), F.count("operator").alias("n")).filter("n = 0").drop("n")
     text = F.coalesce("text", F.lit(""))
     if not raw:

@@ -5,7 +5,8 @@ import os
 import oracle_check
 import pytest
 
-from lipikar.plans import catalogue
+from lipikar.plans import catalogue, pages
+from lipikar.sources import writer
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +29,24 @@ def test_unresolved_context_of_odd_texts(spark, odd):
 def test_unresolved_context_moves_nothing(spark, tiny):
     plan = catalogue.unresolved_context(spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_raw_page_texts_go_by_whole_strings(spark, tiny):
+    plan = catalogue.pdf_roundtrip_text(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and "try_element_at" not in plan
+
+
+def test_raw_page_texts(spark):
+    content = b"BT <000100020009> Tj [<0001> -20 <00030A>] TJ [5] TJ (\\000\\002) Tj ET"
+    codes = {1: "ক", 2: "ি", 3: "সে"}
+    objects = {1: b"<< /Type /Catalog >>", 2: b"<< /Type /Font /BaseFont /A /ToUnicode 3 0 R >>", 3: writer.stream(writer.tounicode(codes))}
+    for page in (4, 6, 8):
+        objects[page] = f"<< /Type /Page /Resources << /Font << {'/F 2 0 R' if page != 6 else ''} >> >> /Contents {page + 1} 0 R >>".encode()
+        objects[page + 1] = writer.stream(content if page != 8 else b"BT ET")
+    files = spark.createDataFrame([("a", bytearray(writer.file_of(objects)))], "pdf_id string, content binary")
+    parts = pages.read_parts(files)
+    mapping = pages.effective_map(parts)
+    got = {r.page_no: r.text for r in pages.page_texts(parts, mapping, raw=True).collect()}
+    assert got == {1: "কি⟦CID:9⟧\nকসে\n\nি", 2: "⟦CID:1⟧⟦CID:2⟧⟦CID:9⟧\n⟦CID:1⟧⟦CID:3⟧\n\n⟦CID:2⟧", 3: ""}
+    with pytest.raises(Exception, match="odd number"):
+        pages.raw_texts(pages.read_parts(files, strict=True), mapping).collect()

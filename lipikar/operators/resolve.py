@@ -34,14 +34,20 @@ def all_refs(value: Column) -> Column:
     return F.transform(F.regexp_extract_all(value, F.lit(r"(\d+)\s+\d+\s+R"), F.lit(1)), lambda x: x.cast("long"))
 
 
-def resolved(objects: DataFrame, doublings: int = DOUBLINGS) -> DataFrame:
+def reference_edges(objects: DataFrame) -> DataFrame:
+    """``pdf_id, obj_num, to`` of objects whose body is a reference."""
+    return objects.select("pdf_id", "obj_num", first_ref(latin(F.col("body"))).alias("to")).filter("to is not null")
+
+
+def resolved(objects: DataFrame, doublings: int = DOUBLINGS, edges: DataFrame | None = None) -> DataFrame:
     """``objects`` with each body that is a reference replaced by the body that it leads to.
 
     Only such objects take part in the self-joins, as pairs of numbers; every join
     doubles the steps taken, so three of them follow up to ``2 ** 3`` references. A
     missing object gives a null body; after the last step the body reached stands.
+    ``edges`` are the objects' ``reference_edges``, if they are at hand: each join reads them again.
     """
-    edges = objects.select("pdf_id", "obj_num", first_ref(latin(F.col("body"))).alias("to")).filter("to is not null")
+    edges = reference_edges(objects) if edges is None else edges
     for _ in range(doublings):
         jump = edges.select("pdf_id", F.col("obj_num").alias("to"), F.col("to").alias("beyond"))
         edges = edges.join(jump, ["pdf_id", "to"], "left").select("pdf_id", "obj_num", F.coalesce("beyond", "to").alias("to"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.storagelevel import StorageLevel
 
 from ..functions import cmap, script, truetype
 from ..functions.content import fallback_shows, text_shows
@@ -24,16 +25,21 @@ PAGE = ["pdf_id", "page_no"]
 _SHOWS = "op_index int, operator string, operands array<struct<kind: string, bytes: binary, num: double>>, error string"
 
 
+def stream_shows(data: bytes, fallback: bool = False) -> tuple[list[tuple[str, list]], str | None]:
+    """([(operator, operands)], error) of a content stream: none, if it has a fault anywhere, but those that ``fallback`` finds."""
+    shows, error = text_shows(data)
+    shows = [] if error else shows
+    if not shows and fallback:
+        shows = [(op, operands) for _, op, operands in fallback_shows(data)]
+    return shows, error
+
+
 def text_ops(streams: DataFrame, keep: list[str], fallback: bool = False) -> DataFrame:
     """Show operations of ``decoded`` streams; a stream with a fault anywhere gives none, but a row that says so. ``fallback`` scans streams that yield nothing byte by byte."""
 
     def make(data: bytes) -> list[tuple]:
-        shows, error = text_shows(data)
-        shows = [] if error else shows
-        found = [(op, [dict(zip(("kind", "bytes", "num"), x)) for x in operands]) for op, operands in shows]
-        if not found and fallback:
-            found = [(op, [dict(zip(("kind", "bytes", "num"), x)) for x in operands]) for _, op, operands in fallback_shows(data)]
-        rows = [(n, op, operands, None) for n, (op, operands) in enumerate(found)]
+        found, error = stream_shows(data, fallback)
+        rows = [(n, op, [dict(zip(("kind", "bytes", "num"), x)) for x in operands], None) for n, (op, operands) in enumerate(found)]
         return rows + ([(len(rows), None, [], error)] if error else [])
 
     return pdf.expand(streams, "decoded", keep, pdf.ddl(_SHOWS), make)
@@ -49,33 +55,37 @@ class Parts:
     ops: DataFrame
     codes: DataFrame
     ttf: DataFrame
+    contents: DataFrame
+    edges: DataFrame
     strict: bool = False
+    fallback: bool = False
 
     def release(self) -> None:
         """Lets go of what executors hold, once results have been written; tables made from it are worked out again if they are read."""
-        for table in (self.objects, self.fonts, self.ops, self.ttf):
+        for table in (self.objects, self.edges, self.fonts, self.ops, self.ttf):
             table.unpersist()
 
 
 def read_parts(files: DataFrame, fallback: bool = False, strict: bool = False) -> Parts:
-    """``objects, pages, fonts, ops, codes, ttf`` of ``files(pdf_id, content)``."""
-    # Scanned once: all that follows are joins on (pdf_id, obj_num).
-    objects = pdf.latest_objects(pdf.pdf_objects(files)).persist()
-    bodies = resolve.resolved(objects)
+    """``objects, pages, fonts, ops, codes, ttf`` of ``files(pdf_id, content)``, and the ``contents`` that pages refer to, not inflated."""
+    # Scanned once: all that follows are joins on (pdf_id, obj_num). What is kept grows with the files and stays on disk.
+    objects = pdf.latest_objects(pdf.pdf_objects(files)).persist(StorageLevel.DISK_ONLY)
+    edges = resolve.reference_edges(objects).persist(StorageLevel.DISK_ONLY)
+    bodies = resolve.resolved(objects, edges=edges)
     pages = resolve.pages(objects)
-    fonts = resolve.font_info(resolve.font_entries(resolve.page_resources(pages, bodies)), objects, bodies).persist()
+    fonts = resolve.font_info(resolve.font_entries(resolve.page_resources(pages, bodies)), objects, bodies).persist(StorageLevel.DISK_ONLY)
     refs = resolve.content_refs(pages)
     # Only content streams reach inflate.
-    bodies = refs.join(objects.select("pdf_id", F.col("obj_num").alias("content_object"), "body"), ["pdf_id", "content_object"])
-    streams = pdf.pdf_streams(bodies, [*PAGE, "content_ord", "content_object"]).filter("decoded is not null")
+    contents = refs.join(objects.select("pdf_id", F.col("obj_num").alias("content_object"), "body"), ["pdf_id", "content_object"])
+    streams = pdf.pdf_streams(contents, [*PAGE, "content_ord", "content_object"]).filter("decoded is not null")
     ops = text_ops(streams, [*PAGE, "content_ord", "content_object"], fallback)
-    ops = ops.withColumn("op_seq", F.col("content_ord").cast("long") * (1 << 32) + F.col("op_index")).persist()
+    ops = ops.withColumn("op_seq", F.col("content_ord").cast("long") * (1 << 32) + F.col("op_index")).persist(StorageLevel.DISK_ONLY)
     strings = ops.filter("operator is not null").select(*PAGE, "op_seq", F.posexplode("operands").alias("operand", "o")).filter("o.kind = 'string'")
     codes = strings.select(*PAGE, "op_seq", "operand", F.posexplode(decode.identity_codes(F.col("o.bytes"), strict)).alias("pos", "cid"))
     files2 = fonts.filter("font_file2 is not null").select("pdf_id", "font_file2", "base_font").distinct()
     ttf = pdf.pdf_streams(files2.join(objects.select("pdf_id", F.col("obj_num").alias("font_file2"), "body"), ["pdf_id", "font_file2"]), ["pdf_id", "font_file2", "base_font"])
-    ttf = ttf.filter("decoded is not null").select("pdf_id", "font_file2", "base_font", F.col("decoded").alias("ttf"), learned.font_key(F.coalesce("base_font", F.lit("")), F.col("decoded")).alias("fkey")).persist()
-    return Parts(objects, pages, fonts, ops, codes, ttf, strict)
+    ttf = ttf.filter("decoded is not null").select("pdf_id", "font_file2", "base_font", F.col("decoded").alias("ttf"), learned.font_key(F.coalesce("base_font", F.lit("")), F.col("decoded")).alias("fkey")).persist(StorageLevel.DISK_ONLY)
+    return Parts(objects, pages, fonts, ops, codes, ttf, contents, edges, strict, fallback)
 
 
 def glyph_tables(ttf: DataFrame) -> DataFrame:
@@ -103,8 +113,7 @@ def tounicode_entries(fonts: DataFrame, objects: DataFrame, strict: bool = False
 
     wanted = fonts.filter("tounicode is not null").select("pdf_id", "tounicode").distinct()
     bodies = wanted.join(objects.select("pdf_id", F.col("obj_num").alias("tounicode"), "body"), ["pdf_id", "tounicode"])
-    streams = pdf.pdf_streams(bodies, ["pdf_id", "tounicode"]).filter("decoded is not null")
-    return pdf.expand(streams, "decoded", ["pdf_id", "tounicode"], pdf.ddl("cid int, text string, ord long"), make)
+    return pdf.expand_streams(bodies, ["pdf_id", "tounicode"], pdf.ddl("cid int, text string, ord long"), make)
 
 
 def page_sources(parts: Parts, legacy: DataFrame | None = None, glyphs: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -182,22 +191,39 @@ def op_texts(parts: Parts, mapping: DataFrame) -> DataFrame:
 
 
 def raw_texts(parts: Parts, mapping: DataFrame) -> DataFrame:
-    """``pdf_id, page_no, text``: a page's shows in order, a line each, as decoded. The page's map is met once, and its codes by whole strings."""
-    strings = F.transform(F.filter("operands", lambda o: o["kind"] == "string"), lambda o: o["bytes"])
-    shows = parts.ops.filter("operator is not null").groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("op_seq", strings.alias("s")))).alias("shows"))
-    found = shows.join(decode.code_maps(mapping, PAGE), PAGE, "left")
-    given = found.select(*PAGE, F.transform("shows", lambda x: x["s"]).alias("shows"), F.map_keys("code_map").alias("cids"), F.map_values("code_map").alias("texts"))
-    strict = parts.strict
+    """``pdf_id, page_no, text, error``: a page's shows in order, a line each, as decoded.
+
+    A page's streams meet its map as they are in the file and are inflated, read
+    and told in one pass, a page at a time: no show is a row, and none is kept.
+    """
+    streams = parts.contents.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("content_ord", "body"))).alias("streams"))
+    found = parts.pages.select(*PAGE).join(streams, PAGE, "left").join(decode.code_maps(mapping, PAGE), PAGE, "left")
+    given = found.select(*PAGE, F.transform("streams", lambda x: x["body"]).alias("streams"), F.map_keys("code_map").alias("cids"), F.map_values("code_map").alias("texts"))
+    strict, fallback = parts.strict, parts.fallback
+
+    def one(bodies: list[bytes], told: decode.Told) -> tuple[str, str | None]:
+        lines, errors = [], []
+        for body in bodies:
+            if (data := pdf.decoded(body)[0]) is not None:
+                shows, error = stream_shows(data, fallback)
+                lines += ["".join([told(s, strict) for kind, s, _ in operands if kind == "string"]) for _, operands in shows]
+                errors += [error] if error else []
+        return "\n".join(lines), min(errors, default=None) if not lines else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*PAGE, "text", "error"]
         for batch in batches:
-            out = []
-            for shows, cids, texts in zip(*batch.columns[len(PAGE) :]):
+            start, out, held = 0, [], 0
+            for n, (bodies, cids, texts) in enumerate(zip(*batch.columns[len(PAGE) :]), 1):
                 told = decode.Told({c: t for c, t in zip(cids.as_py() or (), texts.as_py() or ()) if t is not None})
-                out.append("\n".join(["".join([told(s, strict) for s in show]) for show in shows.as_py()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(PAGE)], pa.array(out, pa.string())], names=[*PAGE, "text"])
+                out.append(one(bodies.as_py() or (), told))
+                held += len(out[-1][0])
+                if held >= pdf.SLICE_BYTES or n == batch.num_rows:
+                    kept = [c.slice(start, n - start) for c in batch.columns[: len(PAGE)]]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.string()) for x in zip(*out))], names=names)
+                    start, out, held = n, [], 0
 
-    return given.mapInArrow(work, T.StructType([*given.schema.fields[: len(PAGE)], T.StructField("text", T.StringType())]))
+    return given.mapInArrow(work, T.StructType([*given.schema.fields[: len(PAGE)], T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
 
 
 def page_texts(parts: Parts, mapping: DataFrame, corrections: dict[str, str] | None = None, raw: bool = False, renormalize: bool = False, shaping: bool = True) -> DataFrame:
@@ -207,22 +233,19 @@ def page_texts(parts: Parts, mapping: DataFrame, corrections: dict[str, str] | N
     the logical order where HarfBuzz is there to ask. ``error`` tells why nothing
     could be read of a page; a page with other shows hasn't failed.
     """
-    ops = op_texts(parts, mapping)
     if raw:
-        joined = raw_texts(parts, mapping)
-    elif shaping and script.can_shape():
+        return raw_texts(parts, mapping)
+    ops = op_texts(parts, mapping)
+    if shaping and script.can_shape():
         fonts = parts.fonts.filter("font_file2 is not null").groupBy(*PAGE).agg(F.min_by("font_file2", "font_ord").alias("font_file2"))
         fonts = fonts.join(parts.ttf.groupBy("pdf_id", "font_file2").agg(F.first("ttf").alias("ttf")), ["pdf_id", "font_file2"]).select(*PAGE, "ttf")
         lines = ops.join(fonts, PAGE, "left").select(*PAGE, "op_seq", chosen("tokens", "cids", "missing", "ttf").alias("text"))
     else:
         lines = ops.select(*PAGE, "op_seq", F.array_join(logical("tokens"), "").alias("text"))
-    if not raw:
-        joined = decode.joined(lines, PAGE, ["op_seq"], sep="\n")
+    joined = decode.joined(lines, PAGE, ["op_seq"], sep="\n")
     errors = parts.ops.groupBy(*PAGE).agg(F.min("error").alias("error"), F.count("operator").alias("n")).filter("n = 0").drop("n")
-    text = F.coalesce("text", F.lit(""))
-    if not raw:
-        text = script.cleanup_column(nfc(text), corrections)
-        text = nfc(text) if renormalize else text
+    text = script.cleanup_column(nfc(F.coalesce("text", F.lit(""))), corrections)
+    text = nfc(text) if renormalize else text
     return parts.pages.select(*PAGE).join(joined, PAGE, "left").join(errors, PAGE, "left").select(*PAGE, text.alias("text"), "error")
 
 

@@ -22,6 +22,9 @@ from ..functions.syntax import SyntaxFault, as_json, get, hex_bytes, parse_indir
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\s*(.*?)\s*endobj", re.S)
 _STREAM = re.compile(rb"stream(?:\r\n|\n|\r)")
 
+#: A table function hands on what it has made after so many bytes of its column, or so many rows: a worker never holds a whole batch's.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
+
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """``pdf_id, length, content`` of every file under ``path``; the id is its path."""
@@ -34,16 +37,27 @@ def expand(rows: DataFrame, column: str, keep: list[str], schema: T.StructType,
     given = rows.select(*keep, F.col(column).alias("__bytes"))
     kinds = [pa.field(f.name, _arrow(f.dataType)) for f in schema.fields]
 
+    def table(batch: pa.RecordBatch, at: list[int], out: list[tuple]) -> pa.RecordBatch:
+        kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+        made = [pa.array([r[k] for r in out], kinds[k].type) for k in range(len(kinds))]
+        return pa.RecordBatch.from_arrays([*kept, *made], names=[*keep, *(k.name for k in kinds)])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
+            at, out, taken = [], [], 0
             for i, b in enumerate(batch.column(len(keep))):
-                for row in make(b.as_py()) if b.is_valid else ():
-                    at.append(i)
-                    out.append(row)
-            kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
-            made = [pa.array([r[k] for r in out], kinds[k].type) for k in range(len(kinds))]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keep, *(k.name for k in kinds)])
+                if not b.is_valid:
+                    continue
+                data = b.as_py()
+                rows = make(data)
+                at += [i] * len(rows)
+                out += rows
+                taken += len(data)
+                if taken >= SLICE_BYTES or len(out) >= SLICE_ROWS:
+                    yield table(batch, at, out)
+                    at, out, taken = [], [], 0
+            if out:
+                yield table(batch, at, out)
 
     return given.mapInArrow(work, T.StructType([*given.schema.fields[:-1], *schema.fields]))
 
@@ -129,6 +143,16 @@ def pdf_streams(objects: DataFrame, keep: list[str] | None = None, on_error: str
     return expand(objects, "body", keep or ["pdf_id", "obj_num"], ddl("decoded binary, error string"), make)
 
 
+def expand_streams(objects: DataFrame, keep: list[str], schema: T.StructType, make: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """``expand`` over what the streams of ``objects`` hold, inflated and read in one pass; a broken one gives nothing."""
+
+    def opened(body: bytes) -> list[tuple]:
+        data = decoded(body)[0]
+        return [] if data is None else make(data)
+
+    return expand(objects, "body", keep, schema, opened)
+
+
 # --- strict reading
 
 

@@ -55,7 +55,7 @@ def test_raw_page_texts(spark):
         pages.raw_texts(pages.read_parts(files, strict=True), mapping).collect()
 
 
-def test_table_functions_hand_on_in_slices():
+def test_table_functions_hand_on_in_slices(spark):
     given = SimpleNamespace(schema=T.StructType([T.StructField("id", T.LongType()), T.StructField("b", T.BinaryType())]), mapInArrow=lambda f, _: f)
     rows = SimpleNamespace(select=lambda *_: given)
     work = pdf.expand(rows, "b", ["id"], pdf.ddl("n int, body binary"), lambda b: [(0, b), (1, b[::-1])])
